@@ -14,6 +14,7 @@ from cragline.llm.licenses import license_digests, scan_licenses, scan_sql
 from cragline.llm.line_dedup import dedup_lines
 from cragline.llm.mixing import mix
 from cragline.llm.near_duplicates import near_duplicates
+from cragline.llm.pii import find_pii
 from cragline.llm.quality import score_quality, train_quality
 from cragline.llm.topk import quantise, top_k
 from cragline.llm.warc import archive_round_trip
@@ -37,6 +38,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
