@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Word trigrams of the test items are counted over all documents. A trigram is a seed of its item when few
-documents hold it, or when it is among the rarer half of its item's trigrams, so that an item whose text has
-leaked everywhere still has seeds. Each place where a seed of an item occurs opens a window of the document,
+documents hold it, when it is among the rarer half of its item's trigrams that documents hold, or when it is about
+as rare as the rarest of them, so that an item whose text has leaked everywhere still has all its seeds. Each place where a seed of an item occurs opens a window of the document,
 which is aligned with the item: +1 for an equal word, -0.5 for another word or a gap, divided by the item's
 words. Windows whose words cannot reach the threshold in any order are passed over, which loses nothing.
 
@@ -114,7 +114,7 @@ def _align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, threshold: float
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare_share: float = 1e-4, block_words: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare_share: float = 1e-4, rare_docs: int = 100, block_words: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, first_word, last_word.
 
     One row for each document and test item whose alignment score is at least threshold; first_word and
@@ -145,13 +145,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[on], -1)), pa.array(np.append(sums[on], rows))], ["k", "n"])
 
         counts = {r.k: r.n for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-        limit = rare_share * counts.pop(-1, 0)
+        limit = max(rare_docs, rare_share * counts.pop(-1, 0))
         seeds: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(block.words):
             keys = [int(k) for k in block.keys(w)]
-            order = sorted(range(len(keys)), key=lambda p: (counts.get(keys[p], 0), p))
+            order = sorted((p for p in range(len(keys)) if keys[p] in counts), key=lambda p: (counts[keys[p]], p))
             for rank, p in enumerate(order):
-                if counts.get(keys[p], 0) and (rank < (len(keys) + 1) // 2 or counts[keys[p]] <= limit):
+                if rank < (len(order) + 1) // 2 or counts[keys[p]] <= max(limit, 4 * counts[keys[order[0]]]):
                     seeds.setdefault(keys[p], []).append((i, p))
         chosen = context.broadcast(seeds)
 
