@@ -119,14 +119,15 @@ def read_records(source) -> Iterator[bytes]:
         pending = b""
     unpacker = zstandard.ZstdDecompressor(dict_data=dictionary)
     while True:
-        frame, out = unpacker.decompressobj(), io.BytesIO()
+        frame, out, begun = unpacker.decompressobj(), io.BytesIO(), False
         while not frame.eof:
             chunk = pending or source.read(1 << 20)
             pending = b""
             if not chunk:
-                if out.tell():
+                if begun:
                     raise ValueError("the archive ends inside a record")
                 return
+            begun = True
             out.write(frame.decompress(chunk))
         pending = frame.unused_data
         yield out.getvalue()
