@@ -30,7 +30,8 @@ def _share(nodes: DataFrame, parents: list[str]) -> DataFrame:
     """Adds budget to nodes(parents..., weight, cap, given): the parent's `given` poured in by weight up to cap.
 
     Children are taken by cap / weight. The level of the pour is what is left for the children from here on
-    over their weights; a child below it takes its cap, and the first one above it fixes the level for the rest.
+    over their weights; a child below it takes its cap. The first one above it fixes the level for the rest: it is the
+    highest, as the later ones count more than its share as given away.
     """
     among = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     order = among.orderBy(F.col("fill"), *LEVELS[: len(parents) + 1])
@@ -39,7 +40,7 @@ def _share(nodes: DataFrame, parents: list[str]) -> DataFrame:
     nodes = nodes.withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     nodes = nodes.withColumn("level", F.when(F.col("rest") > 0, (F.col("given") - F.col("before")) / F.col("rest")))
     nodes = nodes.withColumn("full", F.col("fill") <= F.coalesce(F.col("level"), F.lit(-1.0)))
-    nodes = nodes.withColumn("level", F.min(F.when(~F.col("full"), F.struct("fill", "level"))).over(among)["level"])
+    nodes = nodes.withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(among))
     share = F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), F.greatest(F.lit(0.0), F.col("weight") * F.coalesce(F.col("level"), F.lit(0.0)))))
     return nodes.withColumn("budget", F.when(F.col("weight") > 0, share).otherwise(0.0)).drop("fill", "before", "rest", "level", "full", "given")
 
