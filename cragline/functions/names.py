@@ -36,7 +36,7 @@ def line_count(body: Column) -> Column:
 
 def normalised_lines(body: Column) -> Column:
     """Trimmed lines without blank ones, lone braces and comment lines."""
-    return F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: ~x.isin("", "{", "}") & ~x.startswith("//") & ~x.startswith("*"))
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: ~x.isin("", "{", "}") & ~x.startswith("//") & ~x.startswith("*"))
 
 
 def is_accessor(name: Column, has_body: Column, statements: Column) -> Column:

@@ -37,7 +37,8 @@ def _high_cbo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _god_long(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.metric_ranks(detectors.long_form(_detected("god_class", spark, d), "god_class"))
+    found = graph.cut(_detected("god_class", spark, d))  # read by each ranking step
+    return ranking.metric_ranks(detectors.long_form(found, "god_class"))
 
 
 def _located(instances: DataFrame, spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,8 @@ def _located(instances: DataFrame, spark: SparkSession, d: str) -> DataFrame:
 
 def _prioritized(instances: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     commits = star.commit_files(spark, d)
-    return priority.prioritize(_located(instances, spark, d), churn.scm_log(commits), churn.commit_changes(commits))
+    instances = graph.cut(_located(instances, spark, d))
+    return priority.prioritize(instances, churn.scm_log(commits), churn.commit_changes(commits))
 
 
 def god_class_priority(spark: SparkSession, d: str) -> DataFrame:
