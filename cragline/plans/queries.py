@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.operators import churn, clones, detectors, feedback, graph, metrics, priority, ranking, report
+from cragline.operators import churn, clones, detectors, feedback, graph, metrics, priority, ranking, report, scores
 from cragline.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,8 @@ QUERIES: dict[str, Query] = {
     "undirected_edges": lambda s, d: graph.undirected(_two(s, d)),
     "degrees": lambda s, d: graph.degrees(_two(s, d)),
     "triangles": lambda s, d: graph.triangles(_two(s, d)),
+    "clustering": lambda s, d: graph.triangles(_two(s, d)).select("v", "clustering"),
+    "vertex_removal_score": lambda s, d: scores.vertex_removal_score(graph.cut(_two(s, d))),
     "scc": lambda s, d: graph.strong_components(graph.cut(_two(s, d))),
     "cycle_components": lambda s, d: graph.cycle_components(graph.cut(_two(s, d))),
     "ranked_cycles": _ranked_cycles,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cragline.operators.detectors import CLASS_RULES, KEYS, METHOD_RULES, RULES
+from cragline.operators.scores import removal_sql
 
 ACC = """acc AS (
     SELECT c_custkey AS class_key, n.n_name || '.C' || c_custkey AS class_fqn, n.n_name AS package, CASE WHEN c_custkey // 10 <> c_custkey THEN c_custkey // 10 END AS parent_key,
@@ -74,6 +75,11 @@ s{_i} AS (SELECT src, dst, sum(score) AS score FROM (
     UNION ALL SELECT b_src, b_dst, p.score / out FROM line JOIN s{_i - 1} p ON p.src = a_src AND p.dst = a_dst JOIN louts USING (a_src, a_dst)
     UNION ALL SELECT src, dst, p.score FROM s{_i - 1} p WHERE NOT EXISTS (SELECT 1 FROM louts o WHERE o.a_src = p.src AND o.a_dst = p.dst)) GROUP BY ALL)"""
 
+NEAR = """nb AS (SELECT u AS a, v AS b FROM und UNION SELECT v, u FROM und), dg AS (SELECT a AS v, count(*) AS n FROM nb GROUP BY 1),
+tr AS (SELECT x.a AS v, count(*) AS t FROM nb x JOIN nb y ON x.a = y.a AND x.b < y.b JOIN und ON u = x.b AND und.v = y.b GROUP BY 1),
+ab AS (SELECT a AS v, count(*) FILTER (2 * n > 3) AS h FROM nb JOIN dg ON b = dg.v GROUP BY 1),
+near AS (SELECT dg.v, n, coalesce(t, 0) AS t, 2 * n AS d, h FROM dg LEFT JOIN tr USING (v) JOIN ab USING (v))"""
+
 CYCLES = """walk AS (SELECT src AS root, dst AS at, [src, dst] AS path FROM e WHERE dst > src
     UNION ALL SELECT root, e.dst, list_append(path, e.dst) FROM walk JOIN e ON walk.at = e.src WHERE e.dst > root AND NOT list_contains(path, e.dst)),
 cycles AS (SELECT path, len(path) AS length FROM walk JOIN e ON e.src = walk.at AND e.dst = walk.root)"""
@@ -159,6 +165,8 @@ ORACLE: dict[str, str] = {
     "triangles": f"""{GRAPH}, {UND}, nb AS (SELECT u AS a, v AS b FROM und UNION SELECT v, u FROM und), d AS (SELECT a AS v, count(*) AS degree FROM nb GROUP BY 1),
         t AS (SELECT x.a AS v, count(*) AS n FROM nb x JOIN nb y ON x.a = y.a AND x.b < y.b JOIN und ON u = x.b AND und.v = y.b GROUP BY 1)
         SELECT v, degree, coalesce(n, 0) AS triangles, CASE WHEN degree < 2 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(n, 0) / (degree * (degree - 1)) END AS clustering FROM d LEFT JOIN t USING (v)""",
+    "vertex_removal_score": f"{GRAPH}, {UND}, {NEAR} {removal_sql(3, 'near')}",
+    "clustering": f"{GRAPH}, {UND}, {NEAR} SELECT v, CASE WHEN n < 2 THEN 0.0 ELSE 2.0::DOUBLE * t / (n * (n - 1)) END AS clustering FROM near",
     "dot_edges": f"""{GRAPH}, {LINE}, red AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY component ORDER BY round(score, 9) DESC, weight, src, dst) AS n FROM e JOIN s5 USING (src, dst) JOIN scc ON src = v) WHERE n = 1)
         SELECT src, dst, src || ' -> ' || dst || ' [ label = "' || weight || '" weight = "' || weight || '"' || CASE WHEN EXISTS (SELECT 1 FROM red WHERE red.src = e.src AND red.dst = e.dst) THEN ' color = "red"' ELSE '' END || ' ];' AS line FROM e""",
     "clone_runs": f"WITH {LINES} SELECT a, b, start_a, start_b, size FROM runs",
