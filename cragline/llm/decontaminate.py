@@ -114,7 +114,7 @@ def _align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, threshold: float
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare_share: float = 1e-4, rare_docs: int = 100, block_words: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, rare_share: float = 1e-4, rare_docs: int = 100, block_words: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, first_word, last_word.
 
     One row for each document and test item whose alignment score is at least threshold; first_word and
@@ -180,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4) -> DataFrame:
     """docs without the documents that hold a passage of a test item; rows with a null doc_id stay."""
     leaked = contamination(docs, benchmark, threshold).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
