@@ -97,3 +97,23 @@ def write_text(text: str, path: str) -> None:
 def save(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """Write a report table as csv (with a header), json or parquet."""
     rows.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def cycle_table(members: DataFrame, edges: DataFrame, removed_edges: DataFrame, removed_vertices: DataFrame) -> DataFrame:
+    """cycle_id, v, edges: each class of a cycle with its edges inside it; * marks what is to be removed."""
+    inside = edges.join(members.select("cycle_id", F.col("v").alias("src")), "src").join(members.select("cycle_id", F.col("v").alias("dst")), ["cycle_id", "dst"])
+    inside = inside.join(removed_edges.select("src", "dst", F.lit("*").alias("mark")), ["src", "dst"], "left")
+    text = F.concat(F.col("dst").cast("string"), F.lit(":"), F.col("weight").cast("string"), F.coalesce("mark", F.lit("")))
+    lines = inside.groupBy("cycle_id", F.col("src").alias("v")).agg(F.array_join(F.array_sort(F.collect_list(text)), ", ").alias("edges"))
+    rows = members.join(lines, ["cycle_id", "v"], "left").join(removed_vertices.select("v", F.lit("*").alias("gone")), "v", "left")
+    return rows.select("cycle_id", F.concat(F.col("v").cast("string"), F.coalesce("gone", F.lit(""))).alias("v"), F.coalesce("edges", F.lit("")).alias("edges"))
+
+
+def edge_table(ranked: DataFrame) -> DataFrame:
+    """The columns of the edge section, by priority."""
+    return ranked.select("priority", F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string")).alias("edge"), "weight", "cycle_count", "package_cycle_count", "package_edge_removed", "source_removed", "target_removed")
+
+
+def detail_columns(rows: DataFrame, key: list[str], detail: list[str], show: bool) -> DataFrame:
+    """The key columns, and the detail columns where they are to be shown."""
+    return rows.select(*key, *(detail if show else []))

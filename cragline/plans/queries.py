@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.operators import churn, clones, detectors, feedback, graph, metrics, priority, ranking, report, scores
+from cragline.operators import churn, clones, detectors, feedback, graph, metrics, priority, ranking, removal, report, scores
 from cragline.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "dot_edges": _dot_edges,
     "simple_cycles": _simple_cycles,
     "optimal_back_edges": lambda s, d: feedback.optimal_back_edges(graph.cut(_one(s, d))),
+    "edge_info": lambda s, d: removal.edge_info(removal.cycle_removal(_one(s, d))),
     "pagerank_fas": lambda s, d: graph.pagerank_fas(_one(s, d)),
     "dsm_order": lambda s, d: feedback.dsm_order(_two(s, d)),
     "back_edges": lambda s, d: feedback.back_edges(graph.cut(_two(s, d))),

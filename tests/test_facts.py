@@ -192,3 +192,16 @@ def test_reports(spark, tmp_path):
     assert 'A -> B [ label = "2" weight = "2" color = "red" ];' in text and {r.v for r in report.shown_vertices(edges).collect()} == {"A", "B"}
     report.save(ranked, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2 and report.specs(spark).count() == 11
+
+
+def test_cycle_table_and_command_line(spark, tmp_path, capsys):
+    from cragline.__main__ import main
+
+    members = df(spark, [(1, "A"), (1, "B")], "cycle_id int, v string")
+    edges = df(spark, [("A", "B", 2), ("B", "A", 1), ("A", "X", 9)], "src string, dst string, weight long")
+    rows = report.cycle_table(members, edges, df(spark, [("B", "A")], "src string, dst string"), df(spark, [("A",)], "v string")).collect()
+    assert sorted((r.v, r.edges) for r in rows) == [("A*", "B:2"), ("B", "A:1*")]
+    main(["list"])
+    assert "god_class_priority" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["nothing", str(tmp_path)])

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cragline.operators import feedback, graph
+from cragline.operators import feedback, graph, removal
 from cragline.operators import kernels as K
 
 MATRIX = [("A", "B", 1), ("B", "C", 2), ("C", "D", 3), ("B", "A", 6), ("C", "A", 5), ("D", "A", 4), ("D", "C", 2), ("A", "H", 7), ("E", "C", 9), ("E", "H", 2), ("G", "E", 2), ("H", "D", 9), ("H", "G", 5)]
@@ -131,3 +131,11 @@ def test_streams(spark, tmp_path):
     query = windowed_changes(event_stream(spark, str(tmp_path / "in"), EVENT_SCHEMA)).writeStream.format("memory").queryName("changes").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("changes").agg(F.sum("n")).first()[0] == 40
+
+
+def test_cycle_removal(spark):
+    ring = removal.cycle_removal(frame(spark, [("A", "B", 1), ("B", "C", 1), ("C", "A", 1), ("C", "D", 1)]))
+    assert sorted(r.v for r in ring.cycles.collect()) == ["A", "B", "C"] and ring.edges.count() == 1
+    assert {r.cycle_count for r in ring.counts.collect()} == {1} and len(removal.edge_info(ring).collect()) == 1
+    none = removal.cycle_removal(frame(spark, [("A", "B", 1), ("B", "C", 1)]))
+    assert none.cycles.count() == none.edges.count() == none.vertices.count() == none.counts.count() == 0
