@@ -1,6 +1,8 @@
 """Weighted directed graphs as edges(src, dst, weight): building, pruning, degrees, components, line graphs, PageRank.
 
 Iterations write each round to the shared folder, so lineage does not grow and a lost executor costs one round.
+Graphs of up to KERNEL_EDGES edges, which are counted first, skip the rounds: their components are found on the
+driver, with the same results.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragline.operators import kernels as K
+
+KERNEL_EDGES = 50_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df read back from a table in the folder of spark.checkpoint.dir (or one of our own where it is unset)."""
@@ -78,9 +84,25 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
         core = cut(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
 
 
-def is_cyclic(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, limit: int) -> K.Graph | None:
+    """The graph itself, where it has at most limit edges."""
+    rows = edges.select("src", "dst").limit(limit + 1).collect() if limit else [None]
+    return K.build(sorted({tuple(r) for r in rows})) if len(rows) <= limit else None
+
+
+def _named(edges: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(rows, ", ".join(f"{c} {kind}" for c in columns.split()))
+
+
+def has_cycle(edges: DataFrame, kernel_limit: int = KERNEL_EDGES) -> bool:
+    g = _small(edges, kernel_limit)
+    return not cyclic_core(edges).isEmpty() if g is None else not K.acyclic(g)
+
+
+def is_cyclic(edges: DataFrame, kernel_limit: int = KERNEL_EDGES) -> DataFrame:
     """One row: cyclic."""
-    return cyclic_core(edges).agg((F.count("*") > 0).alias("cyclic"))
+    return edges.sparkSession.createDataFrame([(has_cycle(edges, kernel_limit),)], "cyclic boolean")
 
 
 def _spread(edges: DataFrame, labels: DataFrame, keep_largest: bool = False) -> DataFrame:
@@ -95,19 +117,25 @@ def _spread(edges: DataFrame, labels: DataFrame, keep_largest: bool = False) ->
         before = now
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, kernel_limit: int = KERNEL_EDGES) -> DataFrame:
     """v, component: the smallest vertex that v is connected with, directions apart."""
+    g = _small(edges, kernel_limit)
+    if g is not None:
+        return _named(edges, sorted(K.connected(K.both_ways(g)).items()), "v component")
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
     both = cut(both)
     return _spread(both, both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))).withColumnRenamed("label", "component")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, kernel_limit: int = KERNEL_EDGES) -> DataFrame:
     """v, component for every vertex: the smallest vertex of its strongly connected component.
 
     Forward colours give every vertex the smallest one that reaches it. Within a colour, what reaches the colour's
     vertex backwards is one component. Found components leave, and the rest goes on.
     """
+    g = _small(edges, kernel_limit)
+    if g is not None:
+        return _named(edges, [(v, min(part)) for part in K.components(g) for v in part], "v component")
     every = vertices(edges)
     rest = cut(edges.select("src", "dst").distinct())
     found = None
@@ -167,15 +195,15 @@ def line_pagerank(line: DataFrame, iterations: int = 5) -> DataFrame:
     """src, dst, score of each edge: `iterations` rounds without damping; edges without a successor keep their score."""
     line = cut(line)
     out = line.groupBy("a_src", "a_dst").agg(F.count("*").alias("out"))
-    ends = line.select(F.col("a_src").alias("src"), F.col("a_dst").alias("dst")).union(line.select("b_src", "b_dst")).distinct()
+    ends = cut(line.select(F.col("a_src").alias("src"), F.col("a_dst").alias("dst")).union(line.select("b_src", "b_dst")).distinct())
     n = ends.agg(F.count("*").alias("n"))
     score = ends.join(F.broadcast(n)).select("src", "dst", (F.lit(1.0) / F.col("n")).alias("score"))
+    steps = cut(line.join(out, ["a_src", "a_dst"]))
     for _ in range(iterations):
-        sent = score.withColumnsRenamed({"src": "a_src", "dst": "a_dst"}).join(out, ["a_src", "a_dst"], "left")
-        moved = line.join(sent, ["a_src", "a_dst"]).select(F.col("b_src").alias("src"), F.col("b_dst").alias("dst"), (F.col("score") / F.col("out")).alias("score"))
-        stays = sent.filter("out IS NULL").select(F.col("a_src").alias("src"), F.col("a_dst").alias("dst"), "score")
-        zero = ends.withColumn("score", F.lit(0.0))
-        score = zero.unionByName(moved).unionByName(stays).groupBy("src", "dst").agg(F.sum("score").alias("score"))
+        sent = score.join(steps, (F.col("src") == F.col("a_src")) & (F.col("dst") == F.col("a_dst")), "left")
+        stays = F.col("out").isNull()
+        moved = sent.select(F.when(stays, F.col("src")).otherwise(F.col("b_src")).alias("src"), F.when(stays, F.col("dst")).otherwise(F.col("b_dst")).alias("dst"), F.when(stays, F.col("score")).otherwise(F.col("score") / F.col("out")).alias("score"))
+        score = ends.withColumn("score", F.lit(0.0)).unionByName(moved).groupBy("src", "dst").agg(F.sum("score").alias("score"))
     return score
 
 
@@ -194,7 +222,7 @@ def pagerank_fas(edges: DataFrame, iterations: int = 5) -> DataFrame:
     rest = cut(edges.filter("src <> dst").select("src", "dst", "weight"))
     gone = edges.filter("src = dst").select("src", "dst", F.lit(0).alias("round"))
     n = 0
-    while not cyclic_core(rest).isEmpty():
+    while has_cycle(rest):
         n += 1
         parts = cut(strong_components(rest))
         line = line_digraph(rest, parts)

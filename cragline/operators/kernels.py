@@ -82,6 +82,19 @@ def components(g: Graph) -> list[list]:
     return found
 
 
+def connected(near: dict[object, set]) -> dict:
+    """The smallest vertex that each vertex is connected with."""
+    found: dict = {}
+    for root in sorted(near):
+        stack = [root]
+        while stack:
+            v = stack.pop()
+            if v not in found:
+                found[v] = root
+                stack += near[v]
+    return found
+
+
 def acyclic(g: Graph) -> bool:
     return topological(g) is not None
 

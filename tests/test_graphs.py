@@ -73,9 +73,9 @@ def test_iterations_match_the_kernels(spark, seed):
     edges = random_edges(seed, 12, 0.14)
     df, g = graph.cut(frame(spark, edges)), K.build(sorted(edges))
     want = {v: min(part) for part in K.components(g) for v in part}
-    parts = graph.cut(graph.strong_components(df))
-    assert {r.v: r.component for r in parts.collect()} == want
-    assert graph.is_cyclic(df).first().cyclic == (not K.acyclic(g))
+    parts = graph.cut(graph.strong_components(df, kernel_limit=0))
+    assert {r.v: r.component for r in parts.collect()} == want == {r.v: r.component for r in graph.strong_components(df).collect()}
+    assert graph.has_cycle(df, 0) == graph.has_cycle(df) == graph.is_cyclic(df).first().cyclic == (not K.acyclic(g))
     near, comps = K.both_ways(g), {}
     for v in sorted(near):
         stack = [v]
@@ -84,7 +84,8 @@ def test_iterations_match_the_kernels(spark, seed):
             if w not in comps:
                 comps[w] = v
                 stack += near[w]
-    assert {r.v: r.component for r in graph.connected_components(df).collect()} == comps
+    for limit in (0, 1000):
+        assert {r.v: r.component for r in graph.connected_components(df, limit).collect()} == comps
     line = {tuple(r) for r in graph.line_digraph(df, parts).collect()}
     inner = [(a, b) for a, b, _ in edges if want[a] == want[b]]
     assert line == {(a, b, c, d) for a, b in inner for c, d in inner if b == c}
