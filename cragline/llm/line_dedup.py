@@ -14,32 +14,61 @@ from pyspark.sql import functions as F
 from cragline.llm.common import materialize
 
 VARIABLE = "<*>"
+WORD_BITS = 32_768  # fixed value: bits of a row that bitmap_construct_agg makes
+MOST_BITS = 1 << 27
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """_doc, _text, pos, masked, leaf, line of each line of min_tokens tokens or more; hashes stand for leaf and line."""
-    rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_body")).select("_id", F.xxhash64("_body").alias("_hash"), F.posexplode(F.split("_body", "\n", -1)).alias("pos", "raw"))
+def _lines(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """texts(_id, _hash, _body) -> _id, _hash, pos, masked, leaf, line of each line of min_tokens tokens or more."""
+    # whole bodies are normalised before they are parted: what needs no change is only looked through once
+    plain = F.replace(F.replace("_body", F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    rows = texts.select("_id", "_hash", plain.alias("b"))
+    rows = rows.select("_id", "_hash", F.when(F.contains("b", F.lit("  ")), F.regexp_replace("b", " +", " ")).otherwise(F.col("b")).alias("b"))
+    edges = F.contains("b", F.lit(" \n")) | F.contains("b", F.lit("\n ")) | F.startswith("b", F.lit(" ")) | F.endswith("b", F.lit(" "))
+    rows = rows.select("_id", "_hash", F.when(edges, F.regexp_replace("b", "(?m)^ | $", "")).otherwise(F.col("b")).alias("b"))
     # a token with a digit, found from its start so that long tokens are read once
-    masked = F.regexp_replace(F.trim("raw"), r"(?<!\S)[^\s\d]*+\d\S*+", VARIABLE)
-    rows = rows.withColumn("tokens", F.split(masked, r"\s+")).filter(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return rows.select("_id", "_hash", "pos", "tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"))
+    rows = rows.select("_id", "_hash", F.when(F.col("b").rlike("[0-9]"), F.regexp_replace("b", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(F.col("b")).alias("b"))
+    rows = rows.select("_id", "_hash", F.posexplode(F.split("b", "\n", -1)).alias("pos", "masked"))
+    tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    rows = rows.filter(tokens >= min_tokens)
+    return rows.select("_id", "_hash", "pos", "masked", F.xxhash64(tokens, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("line"))
+
+
+def _may_hold(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of texts whose _hash may be among wanted(_hash): all that are, and few others.
+
+    The filter is a bitmap of at most MOST_BITS bits, 16 for each wanted text, broadcast as rows of 4 kB. Where
+    that bound is reached more rows pass, which costs time and nothing else: an exact join follows.
+    """
+    n = wanted.count()
+    bits = WORD_BITS
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("_hash"), F.lit(bits)) + 1
+    words = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+    rows = texts.withColumn("_place", place).withColumn("_word", F.bitmap_bucket_number("_place")).join(F.broadcast(words), "_word")
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(texts.columns)
 
 
 def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4) -> DataFrame:
     """_id, _hash, drop (array of line numbers) for each text that loses lines; _id and _hash name doc_id and text."""
     key = ["_id", "_hash"]
-    every = _lines(docs, depth, min_tokens)
-    light = materialize(every.select(*key, "pos", "leaf", "line"), "lines")
+    body = F.coalesce("text", F.lit(""))
+    texts_of = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_body"))
+    light = materialize(_lines(texts_of, depth, min_tokens).select(*key, "pos", "leaf", "line"), "lines")
     own = F.struct("_id", "_hash", "pos")
     texts = light.groupBy("leaf", "line", *key).agg(F.min("pos").alias("pos"))
     lines = materialize(texts.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(own).alias("first")), "line-counts")
     # leaves with several lines that could share a template; a leaf of one line is its own template
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count("*").alias("leaf_lines")).filter((F.col("leaf_lines") > 1) & (F.col("leaf_n") >= min_docs)).select("leaf")
-    mixed = lines.join(leaves, "leaf").select("leaf", "line", "n", F.col("first._id").alias("_id"), F.col("first._hash").alias("_hash"), F.col("first.pos").alias("pos"))
+    mixed = materialize(lines.join(leaves, "leaf").select("line", "n", "first.*"), "line-leaves")
     same = mixed.select(F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("pos").alias("p"), F.col("line").alias("l"), "n")
+    every = _lines(_may_hold(texts_of, mixed.select("_hash").distinct()), depth, min_tokens)
     held = every.join(same, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("line") == F.col("l")))
-    held = materialize(held.select("leaf", "line", "tokens", "n").dropDuplicates(["leaf", "line"]), "line-tokens")
+    held = held.select("leaf", "line", "masked", "n").dropDuplicates(["leaf", "line"])
+    held = materialize(held.select("leaf", "line", F.split("masked", " ").alias("tokens"), "n"), "line-tokens")
     words = held.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
     support = words.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
     fixed = words.join(support, ["leaf", "at", "token"], "left_semi").filter(F.col("token") != VARIABLE)
@@ -52,6 +81,7 @@ def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarit
     placed = light.join(templates, ["leaf", "line"]).select(*key, "pos", "template")
     found = placed.groupBy("template", *key).agg(F.min("pos").alias("pos"))
     recurring = found.groupBy("template").agg(F.count("*").alias("docs"), F.min(own).alias("first")).filter(F.col("docs") >= min_docs).select("template", "first")
+    recurring = materialize(recurring, "line-recurring")  # a plain table, so that the join can split a hot template
     repeats = placed.join(recurring, "template").filter(~own.eqNullSafe(F.col("first")))
     return repeats.groupBy(*key).agg(F.collect_set("pos").alias("drop"))
 
