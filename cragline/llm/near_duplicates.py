@@ -72,6 +72,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A hash of each band of ROWS values."""
+    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k] + np.uint64(k + 1))
+    return h
+
+
 def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     """For n = STEP, 2 STEP, ..: the fewest equal values with which a pair may go on.
 
@@ -96,28 +105,26 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             high.append((d >> 64) - (1 << 63))
             low.append((d & MASK) - (1 << 63))
             count.append(len(s))
-            sketch.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int32()), pa.array(sketch, pa.binary())], ["doc_id", "hi", "lo", "size", "sketch"])
+            sketch.append(band_keys(signature(s)).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int32()), pa.array(sketch, pa.binary())], ["doc_id", "hi", "lo", "size", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
-        out = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+        out = [s.tobytes() for s in sets]
         d = [xxhash.xxh3_128_intdigest(s) for s in out]
-        yield pa.RecordBatch.from_arrays([pa.array([(x >> 64) - (1 << 63) for x in d], pa.int64()), pa.array([(x & MASK) - (1 << 63) for x in d], pa.int64()), pa.array(out, pa.binary())], ["hi", "lo", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([(x >> 64) - (1 << 63) for x in d], pa.int64()), pa.array([(x & MASK) - (1 << 63) for x in d], pa.int64()), pa.array(out, pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], ["hi", "lo", "shingles", "sketch"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
-            sig = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            h = np.zeros(sig.shape[:2], np.uint64)
-            for k in range(ROWS):
-                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k] + np.uint64(k + 1))
+            h = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64)
             at = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([part.column("hi").take(at), part.column("lo").take(at), part.column("size").take(at), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)), pa.array(h.ravel().view(np.int64))], ["hi", "lo", "size", "band", "bucket"])
+            yield pa.RecordBatch.from_arrays([part.column("hi").take(at), part.column("lo").take(at), part.column("size").take(at), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)), pa.array(h)], ["hi", "lo", "size", "band", "bucket"])
 
 
 def _evaluate(sig: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, band: int, threshold: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,10 +246,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = ["hi", "lo"]
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, f"doc_id {kind}, hi long, lo long, size int, sketch binary"), "sketches")
-    texts = rows.groupBy(*key, "size").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("text_copies"), F.first("sketch").alias("sketch"))
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(_sketch, f"doc_id {kind}, hi long, lo long, size int, keys binary"), "sketches")
+    texts = rows.groupBy(*key, "size").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("text_copies"), F.first("keys").alias("keys"))
     texts = materialize(texts, "texts")
-    bands = materialize(texts.filter("size > 0").select(*key, "size", "sketch").mapInArrow(_bands, "hi long, lo long, size int, band int, bucket long"), "bands")
+    bands = texts.filter("size > 0").select(*key, "size", "keys").mapInArrow(_bands, "hi long, lo long, size int, band int, bucket long")
     member = F.xxhash64(*key)
     buckets = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("lo", "hi")).alias("y"), F.sum("size").alias("total")).filter("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket", "total")).alias("first"))
@@ -255,8 +262,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     ids = texts.join(needed, key).filter("text_id IS NOT NULL").select(F.col("text_id").alias("doc_id")).distinct()
     # the texts of the members: by the smallest doc_id of their set, and of every row without one
     members_text = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").filter("doc_id IS NULL"))
-    sets = members_text.select("text").mapInArrow(_sets, "hi long, lo long, shingles binary").join(needed, key, "left_semi").dropDuplicates(key)
-    full = materialize(sets.join(texts.select(*key, "sketch"), key), "sets")
+    sets = members_text.select("text").mapInArrow(_sets, "hi long, lo long, shingles binary, sketch binary").join(needed, key, "left_semi").dropDuplicates(key)
+    full = materialize(sets, "sets")
     units = members.withColumn("chunk", chunk).withColumn("pair", F.explode(pairs)).select(*key, "band", "bucket", "chunk", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
     least = least_matches(threshold, tolerance)
     units = units.join(full, key)
@@ -270,6 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     names = parts.groupBy("component").agg(F.min("text_id").alias("class_id"))
     named = named.join(parts.select(*key, "component").join(names, "component").select(*key, "class_id"), key, "left")
     named = named.select(*key, "text_id", "text_copies", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = materialize(named, "named")  # a plain table, so that the join can split a set with many copies
     return rows.select("doc_id", *key).join(named, key).select("doc_id", "class_id", "n_links", "text_id", "text_copies")
 
 
