@@ -1,9 +1,10 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 A line's tokens with digits are variable fields. The first level of the tree is the token count, the next ones
-are the leading tokens. Within a leaf, a token that too few documents have at its position is a variable field
-as well; what is left is the line's template. A template that enough of its tokens fix and that recurs in
-enough documents is boilerplate: its first line stays, all others are dropped.
+are the leading tokens. Within a leaf, the token that most documents have at a position is fixed there, every other
+position is a variable field as well, at any corpus size. Lines that this template does not fit go on in smaller
+groups of the leaf. A template that recurs in enough documents is boilerplate: its first line stays, all others are
+dropped.
 """
 
 from __future__ import annotations
@@ -52,6 +53,37 @@ def _may_hold(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(texts.columns)
 
 
+def _shapes(held: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """held(leaf, line, tokens, n) -> leaf, line, template of the lines that the template of their group fixes well enough.
+
+    A group starts as a leaf. A token that more than half of the group's documents have at its position is fixed
+    there, at most one for each position, so a group has one template. A line of whose tokens the template fixes too few goes on
+    with the lines that share the commonest of its other tokens: at most half of the group, so rounds are few. Only
+    lines that can no longer match are left out: supports never grow, and each fixed token has min_docs documents.
+    """
+    lines, done = held.withColumn("group", F.col("leaf")), None
+    while True:
+        words = lines.select("group", "leaf", "line", "n", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != VARIABLE)
+        support = words.groupBy("group", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
+        support = support.join(lines.groupBy("group").agg(F.sum("n").alias("group_n")), "group")
+        support = support.select("group", "at", "token", "support", (F.col("support") * 2 > F.col("group_n")).alias("fixed"))
+        found = words.drop("n").join(support, ["group", "at", "token"]).groupBy("group", "leaf", "line")
+        other = F.when(~F.col("fixed"), F.struct("support", (-F.col("at")).alias("at"), "token"))
+        found = found.agg(F.count("*").alias("supported"), F.count_if("fixed").alias("fixed"), F.max(other).alias("other"))
+        fields = F.size(F.filter("tokens", lambda x: x == VARIABLE))
+        need = F.ceil(F.size("tokens") * similarity) - fields
+        sized = lines.select("leaf", "line", "n", "tokens", need.alias("need")).join(found, ["leaf", "line"]).filter(F.col("supported") >= F.col("need"))
+        sized = materialize(sized, "line-groups")
+        shapes = sized.filter(F.col("fixed") >= F.col("need")).select("leaf", "line", F.xxhash64("group", F.lit(VARIABLE)).alias("template"))
+        done = shapes if done is None else done.unionByName(shapes)
+        rest = sized.filter((F.col("fixed") < F.col("need")) & F.col("other").isNotNull())
+        rest = rest.select("leaf", "line", "n", "tokens", F.xxhash64("group", "other.at", "other.token").alias("group"))
+        large = rest.groupBy("group").agg(F.sum("n").alias("group_n"), F.count("*").alias("group_lines")).filter((F.col("group_lines") > 1) & (F.col("group_n") >= min_docs))
+        lines = materialize(rest.join(large.select("group"), "group", "left_semi"), "line-rest")
+        if lines.isEmpty():
+            return done
+
+
 def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4) -> DataFrame:
     """_id, _hash, drop (array of line numbers) for each text that loses lines; _id and _hash name doc_id and text."""
     key = ["_id", "_hash"]
@@ -69,12 +101,7 @@ def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarit
     held = every.join(same, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("line") == F.col("l")))
     held = held.select("leaf", "line", "masked", "n").dropDuplicates(["leaf", "line"])
     held = materialize(held.select("leaf", "line", F.split("masked", " ").alias("tokens"), "n"), "line-tokens")
-    words = held.select("leaf", "line", "n", F.posexplode("tokens").alias("at", "token"))
-    support = words.groupBy("leaf", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
-    fixed = words.join(support, ["leaf", "at", "token"], "left_semi").filter(F.col("token") != VARIABLE)
-    kept = fixed.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("fixed"))
-    shapes = held.select("leaf", "line", F.size("tokens").alias("width")).join(kept, ["leaf", "line"]).filter(F.size("fixed") >= F.ceil(F.col("width") * similarity))
-    shapes = shapes.select("leaf", "line", F.xxhash64("leaf", "fixed").alias("template"))
+    shapes = _shapes(held, min_docs, similarity)
     # the other lines: a line that recurs by itself
     alone = lines.filter(F.col("n") >= min_docs).join(shapes, ["leaf", "line"], "left_anti").select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
     templates = materialize(shapes.unionByName(alone), "line-templates")
@@ -95,7 +122,7 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity:
     """docs(doc_id, text, ...) -> docs with text without recurring lines, and n_lines, n_dropped.
 
     depth: leading tokens in the tree; min_docs: documents in which a template recurs; similarity: share of a
-    line's tokens that its template must fix; min_tokens: shorter lines are left alone. The first line of a
+    line's tokens that its template must fix, those with digits counted as matching; min_tokens: shorter lines are left alone. The first line of a
     recurring template (by doc_id, then text hash, then line) stays. Null texts stay null with no lines. Rows
     with the same doc_id and text are one document and lose the same lines; rows of one doc_id with different
     texts are different documents. An empty table gives an empty result. Columns of docs named n_lines or

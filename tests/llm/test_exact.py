@@ -90,6 +90,21 @@ def test_variable_fields_share_a_template(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1, 7: 0}
 
 
+@pytest.mark.parametrize("copies", [1, 8])
+def test_frequent_field_values_share_a_template(spark, copies):
+    r = random.Random(7)
+    # each pair of values is in one or two documents, each value in many of them once the table is large
+    pairs = [(s, n) for s in range(4 * copies) for n in range(4 * copies)][: 16 * copies * copies]
+    lines = [f"this article was first published in sec{'abcdefgh'[s % 8]}{'abcdefgh'[s // 8]} by our reporter nam{'abcdefgh'[n % 8]}{'abcdefgh'[n // 8]}" for s, n in pairs]
+    # another template of the same leaf, with a number
+    other = [f"this article was read by {i} people here in {'abcd'[i % 4]}town since may" for i in range(len(lines) // 2)]
+    prose = [f"this article was {sentence(8, r)}" for _ in range(len(lines))]
+    docs = [(i, f"{line}\n{sentence(6, r)}") for i, line in enumerate(lines + other + prose)]
+    got = {x.doc_id: x.n_dropped for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    first = {0, len(lines)}
+    assert got == {i: int(i < len(lines + other) and i not in first) for i in got}
+
+
 def test_line_dedup_edge_cases(spark):
     same = "one two three four five"
     rows = [(1, same, 9), (1, same, 9), (2, same, 9), (3, same, 9), (None, same, 9), (None, None, 9), (4, "", 9), (5, same + "\n" + "x " * 50_000, 9)]
