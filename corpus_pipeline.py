@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without recurring lines. A document that only had such lines stays, with an empty text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return dedup_lines(docs, short_docs=3).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

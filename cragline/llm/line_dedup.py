@@ -20,19 +20,23 @@ MOST_BITS = 1 << 27
 
 
 def _lines(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """texts(_id, _hash, _body) -> _id, _hash, pos, masked, leaf, line of each line of min_tokens tokens or more."""
+    """texts(_id, _hash, _body) -> _id, _hash, pos, masked, leaf, line, short of each line that is not blank.
+
+    short: fewer than min_tokens tokens. Such a line keeps its digits and is a leaf of its own.
+    """
     # whole bodies are normalised before they are parted: what needs no change is only looked through once
     plain = F.replace(F.replace("_body", F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     rows = texts.select("_id", "_hash", plain.alias("b"))
     rows = rows.select("_id", "_hash", F.when(F.contains("b", F.lit("  ")), F.regexp_replace("b", " +", " ")).otherwise(F.col("b")).alias("b"))
     edges = F.contains("b", F.lit(" \n")) | F.contains("b", F.lit("\n ")) | F.startswith("b", F.lit(" ")) | F.endswith("b", F.lit(" "))
     rows = rows.select("_id", "_hash", F.when(edges, F.regexp_replace("b", "(?m)^ | $", "")).otherwise(F.col("b")).alias("b"))
+    rows = rows.select("_id", "_hash", F.posexplode(F.split("b", "\n", -1)).alias("pos", "own")).filter("own <> ''")
+    rows = rows.withColumn("tokens", F.length("own") - F.length(F.replace("own", F.lit(" "), F.lit(""))) + 1).withColumn("short", F.col("tokens") < min_tokens)
     # a token with a digit, found from its start so that long tokens are read once
-    rows = rows.select("_id", "_hash", F.when(F.col("b").rlike("[0-9]"), F.regexp_replace("b", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(F.col("b")).alias("b"))
-    rows = rows.select("_id", "_hash", F.posexplode(F.split("b", "\n", -1)).alias("pos", "masked"))
-    tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    rows = rows.filter(tokens >= min_tokens)
-    return rows.select("_id", "_hash", "pos", "masked", F.xxhash64(tokens, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("line"))
+    masked = F.when(~F.col("short") & F.col("own").rlike("[0-9]"), F.regexp_replace("own", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(F.col("own"))
+    path = F.when(F.col("short"), F.col("own")).otherwise(F.substring_index("masked", " ", depth))
+    rows = rows.select("_id", "_hash", "pos", "short", "tokens", "own", masked.alias("masked"))
+    return rows.select("_id", "_hash", "pos", "masked", F.xxhash64("tokens", path).alias("leaf"), F.xxhash64("masked").alias("line"), "short")
 
 
 def _may_hold(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -84,26 +88,26 @@ def _shapes(held: DataFrame, min_docs: int, similarity: float) -> DataFrame:
             return done
 
 
-def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4) -> DataFrame:
+def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4, short_docs: int = 16) -> DataFrame:
     """_id, _hash, drop (array of line numbers) for each text that loses lines; _id and _hash name doc_id and text."""
     key = ["_id", "_hash"]
     body = F.coalesce("text", F.lit(""))
     texts_of = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_body"))
-    light = materialize(_lines(texts_of, depth, min_tokens).select(*key, "pos", "leaf", "line"), "lines")
+    light = materialize(_lines(texts_of, depth, min_tokens).select(*key, "pos", "leaf", "line", "short"), "lines")
     own = F.struct("_id", "_hash", "pos")
-    texts = light.groupBy("leaf", "line", *key).agg(F.min("pos").alias("pos"))
-    lines = materialize(texts.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(own).alias("first")), "line-counts")
+    texts = light.groupBy("leaf", "line", "short", *key).agg(F.min("pos").alias("pos"))
+    lines = materialize(texts.groupBy("leaf", "line", "short").agg(F.count("*").alias("n"), F.min(own).alias("first")), "line-counts")
     # leaves with several lines that could share a template; a leaf of one line is its own template
-    leaves = lines.groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count("*").alias("leaf_lines")).filter((F.col("leaf_lines") > 1) & (F.col("leaf_n") >= min_docs)).select("leaf")
-    mixed = materialize(lines.join(leaves, "leaf").select("line", "n", "first.*"), "line-leaves")
+    leaves = lines.filter("NOT short").groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count("*").alias("leaf_lines")).filter((F.col("leaf_lines") > 1) & (F.col("leaf_n") >= min_docs)).select("leaf")
+    mixed = materialize(lines.filter("NOT short").join(leaves, "leaf").select("line", "n", "first.*"), "line-leaves")
     same = mixed.select(F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("pos").alias("p"), F.col("line").alias("l"), "n")
-    every = _lines(_may_hold(texts_of, mixed.select("_hash").distinct()), depth, min_tokens)
+    every = _lines(_may_hold(texts_of, mixed.select("_hash").distinct()), depth, min_tokens).filter("NOT short")
     held = every.join(same, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("line") == F.col("l")))
     held = held.select("leaf", "line", "masked", "n").dropDuplicates(["leaf", "line"])
     held = materialize(held.select("leaf", "line", F.split("masked", " ").alias("tokens"), "n"), "line-tokens")
     shapes = _shapes(held, min_docs, similarity)
     # the other lines: a line that recurs by itself
-    alone = lines.filter(F.col("n") >= min_docs).join(shapes, ["leaf", "line"], "left_anti").select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
+    alone = lines.filter(F.col("n") >= F.when(F.col("short"), F.lit(short_docs)).otherwise(F.lit(min_docs))).join(shapes, ["leaf", "line"], "left_anti").select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
     templates = materialize(shapes.unionByName(alone), "line-templates")
     placed = light.join(templates, ["leaf", "line"]).select(*key, "pos", "template")
     found = placed.groupBy("template", *key).agg(F.min("pos").alias("pos"))
@@ -118,18 +122,20 @@ def _without(text: Column, drop: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4, short_docs: int = 16) -> DataFrame:
     """docs(doc_id, text, ...) -> docs with text without recurring lines, and n_lines, n_dropped.
 
     depth: leading tokens in the tree; min_docs: documents in which a template recurs; similarity: share of a
-    line's tokens that its template must fix, those with digits counted as matching; min_tokens: shorter lines are left alone. The first line of a
+    line's tokens that its template must fix, those with digits counted as matching; lines of fewer than min_tokens
+    tokens, as all lines of scripts without blanks, have no fields and recur as they are in short_docs documents,
+    min_docs at least. Blank lines stay. The first line of a
     recurring template (by doc_id, then text hash, then line) stays. Null texts stay null with no lines. Rows
     with the same doc_id and text are one document and lose the same lines; rows of one doc_id with different
     texts are different documents. An empty table gives an empty result. Columns of docs named n_lines or
     n_dropped are replaced, other columns are kept as they are.
     """
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    drop = line_decisions(docs, depth, min_docs, similarity, min_tokens).select(F.col("_id").alias("_ld_id"), F.col("_hash").alias("_ld_hash"), F.col("drop").alias("_ld_drop"))
+    drop = line_decisions(docs, depth, min_docs, similarity, min_tokens, short_docs).select(F.col("_id").alias("_ld_id"), F.col("_hash").alias("_ld_hash"), F.col("drop").alias("_ld_drop"))
     rows = docs.select(*own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_ld_own"))
     out = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_own") == F.col("_ld_hash")), "left")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))

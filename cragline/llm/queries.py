@@ -43,7 +43,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return dedup_lines(table(spark, sf_dir, "documents"), short_docs=3).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,15 @@ def test_frequent_field_values_share_a_template(spark, copies):
     assert got == {i: int(i < len(lines + other) and i not in first) for i in got}
 
 
+def test_short_lines_recur_as_they_are(spark):
+    lines = ["Read more", "  All rights reserved. ", "\u7248\u6743\u6240\u6709", "Page 7"]
+    docs = [(i, "\n".join(["", *lines, f"Page {100 + i}", f"only here{chr(97 + i)}"])) for i in range(5)]
+    got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), short_docs=3).collect()}
+    assert got == {0: docs[0][1]} | {i: f"\nPage {100 + i}\nonly here{chr(97 + i)}" for i in range(1, 5)}
+    many = spark.createDataFrame([(i, "Share this") for i in range(40)], "doc_id long, text string")
+    assert sum(x.n_dropped for x in dedup_lines(many).collect()) == 39
+
+
 def test_line_dedup_edge_cases(spark):
     same = "one two three four five"
     rows = [(1, same, 9), (1, same, 9), (2, same, 9), (3, same, 9), (None, same, 9), (None, None, 9), (4, "", 9), (5, same + "\n" + "x " * 50_000, 9)]
