@@ -1,16 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
-Word trigrams of the test items are counted over all documents. A trigram is a seed of its item when few
-documents hold it, when it is among the rarer half of its item's trigrams that documents hold, or when it is about
-as rare as the rarest of them, so that an item whose text has leaked everywhere still has all its seeds. Each place where a seed of an item occurs opens a window of the document,
-which is aligned with the item: +1 for an equal word, -0.5 for another word or a gap, divided by the item's
-words. Windows whose words cannot reach the threshold in any order are passed over, which loses nothing.
+An alignment of a document with an item counts +1 for an equal word, -0.5 for another word or a gap, divided by the
+item's words. Seeds are pairs of words that are neighbours or have one word between them, in item and document. An
+alignment of M equal words and E edits that scores threshold * m has E <= 2 (M - threshold * m), so of the M - 1 steps
+between its equal words at least threshold * m - 1 have one edit or none, and each of these is a seed at a place of
+its own. Only stretches of a document with so many seeds of an item, as long as such an alignment can be, are
+aligned; no seed is left out for being frequent, so none that reaches the threshold is lost. Stretches whose words
+cannot reach the threshold in any order are passed over, which loses nothing either.
 
 Words are runs of letters and digits in lower case.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-N = 3
 PENALTY = 0.5
 
 
@@ -31,12 +33,14 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """A block of test items. Keys are words, three at a time, as one integer each."""
+    """A block of test items. Keys are words, two at a time, as one integer each."""
 
     names: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
-    places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # key -> (item, place in it)
+    seeds: np.ndarray | None = None  # keys in order; those of seeds[k] are in items[starts[k]:starts[k + 1]]
+    starts: np.ndarray | None = None
+    items: np.ndarray | None = None
 
     def add(self, name, text: str | None) -> None:
         words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64)
@@ -45,17 +49,34 @@ class Items:
             self.words.append(words)
 
     def index(self) -> None:
-        for i, w in enumerate(self.words):
-            for p, key in enumerate(self.keys(w)):
-                self.places.setdefault(int(key), []).append((i, p))
-
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """The key of each run of N words; items shorter than N words are one run of what they have. 0: an unknown word."""
+        found = [(np.unique(np.concatenate(self.keys(w))), i) for i, w in enumerate(self.words)]
+        keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int64)
+        items = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+        order = np.argsort(keys, kind="stable")
+        self.items = items[order]
+        self.seeds, at = np.unique(keys[order], return_index=True)
+        self.starts = np.append(at, len(keys))
+
+    def keys(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of neighbours and of words with one between them, by the place of the first word. 0: an unknown word."""
         base = len(self.vocabulary) + 1
-        if len(words) < N:
-            return np.zeros(0, np.int64)
-        a, b, c = words[:-2], words[1:-1], words[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * base + b) * base + c, 0)
+        return tuple(np.where((words[:-d] > 0) & (words[d:] > 0), words[:-d] * base + words[d:], 0) for d in (1, 2))
+
+    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """item, place of each seed in the document, by item and place; a place counts once for an item."""
+        if len(self.seeds) == 0 or len(doc) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        near, far = self.keys(doc)
+        keys, places = np.concatenate([near, far]), np.concatenate([np.arange(len(near)), np.arange(len(far))])
+        known = np.flatnonzero(keys)
+        keys, places = keys[known], places[known]
+        at = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
+        hit = np.flatnonzero(self.seeds[at] == keys)
+        at, places = at[hit], places[hit]
+        n = self.starts[at + 1] - self.starts[at]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.unique(self.items[np.repeat(self.starts[at], n) + inside] * len(doc) + np.repeat(places, n))
+        return both // len(doc), both % len(doc)
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -94,13 +115,28 @@ def alignment(item: np.ndarray, window: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
-    """Score and span of the best window around the seed hits (places where the item would start), or None."""
+def _stretches(m: int, size: int, places: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The parts of a document of size words that can hold an alignment with an item of m words, by its seeds' places."""
+    least = max(1, math.ceil(threshold * m - 1 - 1e-9))
+    span = m + math.ceil(max(0.0, 2 * m * (1 - threshold)))
+    if len(places) < least:
+        return []
+    last = places[least - 1 :]
+    first = places[: len(last)]
+    fits = np.flatnonzero(last - first <= span)
+    parts: list[tuple[int, int]] = []
+    for low, high in zip(np.maximum(last[fits] - span, 0).tolist(), np.minimum(first[fits] + span + 1, size).tolist(), strict=True):
+        if parts and low <= parts[-1][1]:
+            parts[-1] = (parts[-1][0], max(high, parts[-1][1]))
+        else:
+            parts.append((low, high))
+    return parts
+
+
+def _align(item: np.ndarray, doc: np.ndarray, places: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+    """Score and span of the best alignment around the places of the item's seeds, or None."""
     m, found = len(item), None
-    hits = np.unique(hits)
-    edges = np.flatnonzero(np.diff(hits) > m) + 1
-    for group in np.split(hits, edges):
-        low, high = max(0, int(group[0]) - m), min(len(doc), int(group[-1]) + 2 * m)
+    for low, high in _stretches(m, len(doc), places, threshold):
         window = doc[low:high]
         values, need = np.unique(item, return_counts=True)
         at = np.searchsorted(values, window)
@@ -114,14 +150,14 @@ def _align(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, threshold: float
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, rare_share: float = 1e-4, rare_docs: int = 100, block_words: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, block_words: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, score, first_word, last_word.
 
     One row for each document and test item whose alignment score is at least threshold; first_word and
-    last_word number the words of the passage from 0, the last one excluded. Test items of fewer than three
-    words have no seed and match nothing. Null or empty texts match nothing; repeated documents give repeated
+    last_word number the words of the passage from 0, the last one excluded. Test items of one
+    word have no seed and match nothing. Null or empty texts match nothing; repeated documents give repeated
     rows; items repeated with the same id and text count once; an empty table gives an empty result.
-    The items are broadcast in blocks of block_words words, and documents are read twice for each block.
+    The items are broadcast in blocks of block_words words, and documents are read once for each block.
     """
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     schema = f"{kinds}, score double, first_word int, last_word int"
@@ -130,46 +166,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4,
     for block in _blocks(benchmark, block_words):
         shared = context.broadcast(block)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            keys = np.array(sorted(items.places), np.int64)
-            sums, rows = np.zeros(len(keys), np.int64), 0
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    rows += 1
-                    own = np.unique(items.keys(items.encode(text)))
-                    at = np.searchsorted(keys, own)
-                    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
-                    sums[at] += 1
-            on = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[on], -1)), pa.array(np.append(sums[on], rows))], ["k", "n"])
-
-        counts = {r.k: r.n for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-        limit = max(rare_docs, rare_share * counts.pop(-1, 0))
-        seeds: dict[int, list[tuple[int, int]]] = {}
-        for i, w in enumerate(block.words):
-            keys = [int(k) for k in block.keys(w)]
-            order = sorted((p for p in range(len(keys)) if keys[p] in counts), key=lambda p: (counts[keys[p]], p))
-            for rank, p in enumerate(order):
-                if rank < (len(order) + 1) // 2 or counts[keys[p]] <= max(limit, 4 * counts[keys[order[0]]]):
-                    seeds.setdefault(keys[p], []).append((i, p))
-        chosen = context.broadcast(seeds)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, chosen=chosen) -> Iterator[pa.RecordBatch]:
-            items, seeds = shared.value, chosen.value
-            keys = np.array(sorted(seeds), np.int64)
+            least = np.array([max(1, math.ceil(threshold * len(w) - 1 - 1e-9)) for w in items.words], np.int64)
             for batch in batches:
                 rows: list[tuple[int, object, float, int, int]] = []
-                for n, text in enumerate(batch.column("text").to_pylist() if len(keys) else ()):
+                for n, text in enumerate(batch.column("text").to_pylist()):
                     doc = items.encode(text)
-                    own = items.keys(doc)
-                    at = np.searchsorted(keys, own)
-                    hits: dict[int, list[int]] = {}
-                    for place in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == own):
-                        for i, p in seeds[int(own[place])]:
-                            hits.setdefault(i, []).append(int(place) - p)
-                    for i, starts in sorted(hits.items()):
-                        if found := _align(items.words[i], doc, np.array(starts), threshold):
+                    which, places = items.hits(doc)
+                    named, first, many = np.unique(which, return_index=True, return_counts=True)
+                    for k in np.flatnonzero(many >= least[named]).tolist():
+                        i = int(named[k])
+                        if found := _align(items.words[i], doc, places[first[k] : first[k] + many[k]], threshold):
                             rows.append((n, items.names[i], *found))
                 if rows:
                     which, names, score, first, last = zip(*rows, strict=True)

@@ -60,6 +60,25 @@ def test_contamination_finds_copies_and_edits(spark):
     assert contamination(d.limit(0), b).count() == 0 and contamination(d, b.limit(0)).count() == 0
 
 
+def test_contamination_finds_hot_quotes_and_dense_edits(spark):
+    r = random.Random(9)
+    item, short = [f"w{k}" for k in range(50)], "alpha beta"
+    thirds, spread = list(item), [x for k, w in enumerate(item) for x in (w, f"y{k}")]
+    thirds[2::3] = ["zzz"] * len(thirds[2::3])
+    quote = " ".join(item[:24])
+    docs = [f"{sentence(20, r)} {quote} {sentence(20, r)}" for _ in range(300)] + [" ".join(item)] * 3
+    docs += [" ".join(thirds), " ".join(spread), " ".join(item[::-1]), f"see alpha beta {sentence(5, r)}"]
+    # documents of words of the item in random order, repeated and cut
+    docs += [" ".join(" ".join(item[(a := r.randrange(48)) : a + r.randint(1, 9)] + [r.choice(item + ["q"])] * r.randint(0, 2)) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    got = contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item)), (1, short)], "item_id long, text string"))
+    got = {(x.doc_id, x.item_id): x.score for x in got.collect()}
+    place = {w: k for k, w in enumerate(item, 1)}
+    best = {i: alignment(np.arange(1, 51), np.array([place.get(w, 0) for w in d.split()]))[0] / 50 for i, d in enumerate(docs)}
+    assert {i: s for (i, k), s in got.items() if k == 0} == {i: s for i, s in best.items() if s >= 0.4}
+    assert sum(s >= 0.4 for s in best.values()) >= 305 and min(best.values()) < 0.4
+    assert {(i, s) for (i, k), s in got.items() if k == 1} == {(306, 1.0)}
+
+
 # ---- line deduplication
 
 
