@@ -1,5 +1,7 @@
 """Texts of well-known licenses and license notices, by SPDX identifier."""
 
+from pathlib import Path
+
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -50,3 +52,25 @@ Unless required by applicable law or agreed to in writing, software distributed
     "MIT-line": "Released under the MIT License.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
 }
+
+#: Titles under which the short texts are found as well; "": without a title.
+TITLES = {
+    "MIT": ("", "The MIT License (MIT)", "The MIT License", "MIT License (MIT)"),
+    "MIT-0": ("", "MIT-0"),
+    "ISC": ("", "The ISC License"),
+    "0BSD": ("", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Zlib": ("", "The zlib License", "zlib/libpng License"),
+}
+END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """license_id, text: LICENSES, their title variants, and the full texts in the folder texts, with and without appendix."""
+    rows = list(LICENSES.items())
+    rows += [(k, f"{title}\n\n{LICENSES[k].split(chr(10), 1)[1]}") for k, titles in TITLES.items() for title in titles]
+    for path in sorted((Path(__file__).parent / "texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        rows += [(path.stem, text)] + [(path.stem, text.split(END)[0] + x) for x in ("", END) if END in text]
+    return rows

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.llm.license_texts import LICENSES
+from cragline.llm.license_texts import LICENSES, known_texts
 
 #: Spellings that count as equal.
 EQUIVALENT = {
@@ -35,7 +35,7 @@ def canonical(text: Column) -> Column:
 
 def license_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """license_id, digest of the known texts; of texts with equal forms the smallest license_id stays."""
-    rows = spark.createDataFrame(list((LICENSES if texts is None else texts).items()), "license_id string, text string")
+    rows = spark.createDataFrame(known_texts() if texts is None else list(texts.items()), "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
