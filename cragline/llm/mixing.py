@@ -4,7 +4,7 @@ A token budget flows from the root to the leaves. At each node it is shared amon
 a child never gets more than its subtree can give (its tokens times max_epochs). What one child cannot take
 goes to its siblings by weight; only what a whole subtree cannot take goes back to the siblings of its root.
 A leaf's budget is met by whole epochs and then by a token-prefix of one more, each epoch in a seeded order of
-its own.
+its own. The prefix ends inside a document where the budget does.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from cragline.llm.common import materialize
 LEVELS = ("domain", "lang", "source")
 #: Stands for null in the tree.
 NONE = "(none)"
+TOKEN = r"\S+"
 
 
 def _weight(level: str, weights: dict[str, float]) -> Column:
@@ -64,22 +65,52 @@ def leaf_budgets(leaves: DataFrame, token_budget: float, weights: dict[str, dict
     return shared.select(*LEVELS, "tokens", F.floor(F.col("budget") + 1e-6).alias("budget"))
 
 
+def _order(seed: int) -> Column:
+    """The place of a row in the order of the epoch `epochs` of its leaf: 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("_mix_key")))
+
+
+def _cuts(placed: DataFrame, plan: DataFrame, small) -> DataFrame:
+    """placed(levels, at, tokens), plan(levels, epochs, rest) -> levels, epochs, cut, share.
+
+    cut is the first place at which the running sum of a leaf passes its rest, share what each row there still gives.
+    Leading digits of the places are narrowed down, two at a time: a step sums at most 256 ranges of a leaf, and only
+    the rows of one range in 65,536 are put in order.
+    """
+    levels, found = list(LEVELS), plan.withColumn("part", F.lit("")).withColumn("before", F.lit(0).cast("long"))
+    for known, digits in ((0, 2), (2, 4), (4, 32)):
+        inside = placed.withColumn("part", F.substring("at", 1, known)).join(small(found.select(*levels, "part", "rest", "before")), [*levels, "part"])
+        sums = inside.groupBy(*levels, "rest", "before", F.substring("at", 1, digits).alias("next"))
+        sums = sums.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+        upto = F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("next"))
+        first = F.min(F.struct(F.col("next").alias("part"), (F.col("upto") - F.col("tokens")).alias("before"), "n")).alias("first")
+        ends = sums.withColumn("upto", upto).filter("upto > rest").groupBy(*levels).agg(first).select(*levels, "first.*")
+        found = materialize(plan.join(ends, levels), "mix-cut")
+    return found.select(*levels, "epochs", F.col("part").alias("cut"), F.expr("(rest - before) div n").alias("share"))
+
+
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]] | None = None, budget_share: float = 0.5, max_epochs: int = 4, seed: int = 11, broadcast_leaves: int = 50_000) -> DataFrame:
-    """docs(doc_id, text, lang, source, ...) -> docs with tokens, domain_name and copies, of the rows drawn at least once.
+    """docs(doc_id, text, lang, source, ...) -> docs with tokens, domain_name, copies, prefix_tokens, tokens_taken and
+    prefix, of the rows of which any token is drawn.
 
     Tokens are runs of non-blank characters. The budget is budget_share of all tokens. copies counts the epochs
-    that hold the document. Within the last, partial epoch a document is drawn when all documents up to it in
-    the seeded order of its leaf fit into the rest of the budget, so a leaf never exceeds its budget. Null levels form
-    a leaf named (none). Texts that are null or without a token are never drawn. Repeated rows share one place
-    in the order and are drawn together. Columns of docs named tokens, domain_name or copies are replaced.
-
-    Only leaf names, hashes and token counts are shuffled, never texts. Within a leaf, token sums by 4096 ranges
-    of the order find the range in which the budget ends, and only that range is sorted, so a leaf that holds a
-    third of all rows is spread like any other. The leaves' plan is broadcast up to broadcast_leaves leaves.
+    that hold the whole document. In the last, partial epoch of a leaf whole documents are drawn in the seeded order until one
+    does not fit into the rest of the budget: of that one the first prefix_tokens tokens are drawn, as text in prefix
+    (null elsewhere). So a leaf gives its budget to the token. tokens_taken = copies * tokens + prefix_tokens.
+
+    Null levels form a leaf named (none). Texts that are null or without a token are never drawn. Repeated rows
+    share one place in the order; where the budget ends there, each gives the same number of tokens, and fewer tokens than
+    there are such rows are left over. Columns of docs with the names of the new ones are replaced; an empty table
+    gives an empty result.
+
+    Only leaf names, hashes and token counts are shuffled, never texts. A leaf that holds a third of all rows is
+    summed by ranges of its order, and only one range is sorted. The leaves' plan is broadcast up to broadcast_leaves leaves.
     """
-    own = [c for c in docs.columns if c.lower() not in ("tokens", "domain_name", "copies")]
+    new = ("tokens", "domain_name", "copies", "prefix_tokens", "tokens_taken", "prefix")
+    own = [c for c in docs.columns if c.lower() not in new]
     place = [F.coalesce(x.cast("string"), F.lit(NONE)).alias(f"_mix_{k}") for k, x in zip(LEVELS, (domain, F.col("lang"), F.col("source")), strict=True)]
-    rows = docs.select(*own, *place, F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"), F.xxhash64("doc_id", "text").alias("_mix_key")).filter("tokens > 0")
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).alias("_mix_key")
+    rows = docs.select(*own, *place, F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long").alias("tokens"), key).filter("tokens > 0")
     light = materialize(rows.select(*[F.col(f"_mix_{k}").alias(k) for k in LEVELS], "_mix_key", "tokens"), "mix")
     leaves = light.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     total = light.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -88,21 +119,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]] |
     plan = materialize(plan, "mix-plan")
     few = plan.limit(broadcast_leaves + 1).count() <= broadcast_leaves
     small = F.broadcast if few else lambda x: x
-
-    def order(key: str) -> Column:
-        return F.xxhash64(F.lit(seed), F.col("epochs"), F.col(key))
-
-    placed = light.join(small(plan), list(LEVELS)).withColumn("at", order("_mix_key")).withColumn("part", F.shiftright("at", 52))
-    parts = placed.groupBy(*LEVELS, "part", "rest").agg(F.sum("tokens").alias("tokens"))
-    upto = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("part"))
-    ends = parts.withColumn("upto", upto).filter("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("part", (F.col("upto") - F.col("tokens")).alias("before"))).alias("end"))
-    ends = ends.select(*LEVELS, F.col("end.part").alias("part"), F.col("end.before").alias("before"))
-    inside = placed.join(small(ends), [*LEVELS, "part"]).groupBy(*LEVELS, "rest", "before", "at").agg(F.sum("tokens").alias("tokens"))
-    inside = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("at")))
-    cuts = inside.filter("upto <= rest").groupBy(*LEVELS).agg(F.max("at").alias("cut"))
-    drawn = plan.join(ends, list(LEVELS), "left").join(cuts, list(LEVELS), "left")
-    drawn = drawn.select(*[F.col(k).alias(f"_mix_{k}") for k in LEVELS], "epochs", F.col("part").alias("_mix_part"), F.col("cut").alias("_mix_cut"))
-    at = order("_mix_key")
-    in_prefix = F.col("_mix_part").isNull() | (F.shiftright(at, 52) < F.col("_mix_part")) | ((F.shiftright(at, 52) == F.col("_mix_part")) & (at <= F.col("_mix_cut")))
-    out = rows.join(small(drawn), [f"_mix_{k}" for k in LEVELS]).withColumn("copies", F.col("epochs") + F.when(in_prefix, 1).otherwise(0))
-    return out.filter("copies > 0").select(*own, "tokens", F.col("_mix_domain").alias("domain_name"), "copies")
+    placed = light.join(small(plan.select(*LEVELS, "epochs")), list(LEVELS)).withColumn("at", _order(seed)).select(*LEVELS, "at", "tokens")
+    cuts = _cuts(placed, plan, small).select(*[F.col(k).alias(f"_mix_{k}") for k in LEVELS], "epochs", F.col("cut").alias("_mix_cut"), F.col("share").alias("_mix_share"))
+    out = rows.join(small(cuts), [f"_mix_{k}" for k in LEVELS]).withColumn("_mix_at", _order(seed))
+    out = out.withColumn("copies", F.col("epochs") + F.when(F.col("_mix_at") < F.col("_mix_cut"), 1).otherwise(0))
+    out = out.withColumn("prefix_tokens", F.when(F.col("_mix_at") == F.col("_mix_cut"), F.col("_mix_share")).otherwise(0))
+    out = out.withColumn("tokens_taken", F.col("copies") * F.col("tokens") + F.col("prefix_tokens")).filter("tokens_taken > 0")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"\s*{TOKEN}"), F.lit(0)), F.lit(1), F.col("prefix_tokens").cast("int")), "")
+    return out.select(*own, "tokens", F.col("_mix_domain").alias("domain_name"), "copies", "prefix_tokens", "tokens_taken", F.when(F.col("prefix_tokens") > 0, head).alias("prefix"))

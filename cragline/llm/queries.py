@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cragline.llm import sql
 from cragline.llm.common import bucket_of, table
 from cragline.llm.decontaminate import contamination
 from cragline.llm.language_id import identify_language, train_prototypes
@@ -50,16 +51,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), license_digests(spark))
 
 
-#: Weights of the mix: sources fall into four domains by their name.
+#: Weights of the mix: sources fall into four domains by a digest of their name, which SQL has as well.
 MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
 
 
 def mix_domain() -> Column:
-    return F.concat(F.lit("d"), F.crc32(F.col("source").cast("binary")) % 4)
+    return F.concat(F.lit("d"), F.ascii(F.md5(F.col("source").cast("binary"))) % 4)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS).select("doc_id", "domain_name", "lang", "source", "tokens", "copies")
+    return mix(table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS).select("doc_id", "domain_name", "lang", "source", "tokens", "copies", "tokens_taken")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,26 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": scan_sql(),
-    "op8_top_k": """
-        WITH v AS (
-            SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
-        ), parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
-        pairs AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM parts q JOIN parts c USING (i)
-            WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL
-        ), ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM pairs)
-        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 10
-    """,
-    "op10_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-        d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
-        b AS (SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(hex, 5 * g + 1, 5) AS INT)) AS g FROM d)
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-            array_to_string(list_transform(g, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 10) % 32 + 1, 1)
-                || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x % 32 + 1, 1)), '') AS payload_digest,
-            CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
-            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-        FROM b
-    """,
+    "op7_mixing": sql.mixing_sql(MIX_WEIGHTS),
+    "op8_top_k": sql.TOP_K,
+    "op10_warc": sql.WARC,
 }

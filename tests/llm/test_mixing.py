@@ -1,5 +1,6 @@
+import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,28 +50,66 @@ def test_budgets_match_repeated_pouring(spark, seed):
             assert abs(x.budget - want[x.domain, x.lang, x.source]) < 1.001, (budget, x, want[x.domain, x.lang, x.source])
 
 
-def test_drawn_documents_are_prefixes_of_seeded_orders(spark):
-    r = random.Random(9)
-    rows = [(i, " ".join("w" for _ in range(r.randint(1, 30))), r.choice(["en", "de"]), r.choice(["s0", "s0", "s0", "s1", "s2"]), 7) for i in range(900)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int")
-    weights = {"source": {"s1": 5.0}}
-    out = mix(docs, F.lit("d"), weights, budget_share=0.6, max_epochs=3)
-    assert out.columns == ["doc_id", "text", "lang", "source", "tokens", "domain_name", "copies"]
-    copies = {x.doc_id: x.copies for x in out.collect()}
-    order = {x.doc_id: x for x in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).select("doc_id", *[F.xxhash64(F.lit(11), F.lit(e).cast("long"), "key").alias(f"e{e}") for e in range(4)]).collect()}
+def place(i, text, epoch, seed=11):
+    key = "|".join(x for x in (None if i is None else str(i), hashlib.md5(text.encode()).hexdigest()) if x is not None)
+    return hashlib.md5(f"{seed}|{epoch}|{key}".encode()).hexdigest()
+
+
+def brute_draw(rows, budgets):
+    """tokens drawn by doc_id: token by token from each leaf's epochs, in order."""
     leaves = defaultdict(list)
     for i, t, la, s, _ in rows:
-        leaves["d", la, s].append((i, len(t.split())))
-    sizes = [(*k, sum(n for _, n in v)) for k, v in leaves.items()]
-    budgets = {(x.domain, x.lang, x.source): x.budget for x in leaf_budgets(spark.createDataFrame(sizes, "domain string, lang string, source string, tokens long"), 0.6 * sum(x[3] for x in sizes), weights, 3).collect()}
-    for k, v in leaves.items():
-        total = sum(n for _, n in v)
-        full, rest = divmod(budgets[k], total)
-        used = 0
-        for i, n in sorted(v, key=lambda x: order[x[0]][f"e{full}"]):
-            used += n
-            assert copies.get(i, 0) == full + (used <= rest), (k, i)
-        assert sum(copies.get(i, 0) * n for i, n in v) <= budgets[k]
+        leaves["d", la, s].append((i, t))
+    taken = defaultdict(int)
+    for k, docs in leaves.items():
+        left, epoch = budgets[k], 0
+        full = left // sum(len(t.split()) for _, t in docs)
+        while left:
+            # all whole epochs take every token, so their order does not matter; the partial one has the number of whole ones
+            for i, t in sorted(docs, key=lambda x: place(*x, full)):
+                n = min(left, len(t.split()))
+                taken[i] += n
+                left -= n
+            epoch += 1
+    return {i: n for i, n in taken.items() if n}
+
+
+def test_leaves_give_their_budgets_to_the_token(spark):
+    r = random.Random(9)
+    # long documents among short ones, and a source of one document
+    rows = [(i, " ".join(f"w{k}" for k in range(r.choice([1, 3, 30, 30, 400]))), r.choice(["en", "de"]), r.choice(["s0", "s0", "s0", "s1", "s2"]), 7) for i in range(700)]
+    rows.append((700, "one very long\ttext\n\n " + "of many words " * 900, "en", "alone", 7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int")
+    weights = {"source": {"s1": 5.0, "alone": 0.5}}
+    for share in (0.05, 0.6, 1.7):
+        out = mix(docs, F.lit("d"), weights, budget_share=share, max_epochs=3)
+        assert out.columns == ["doc_id", "text", "lang", "source", "tokens", "domain_name", "copies", "prefix_tokens", "tokens_taken", "prefix"]
+        got = {x.doc_id: x for x in out.collect()}
+        sizes = Counter()
+        for _, t, la, s, _ in rows:
+            sizes["d", la, s] += len(t.split())
+        leaves = spark.createDataFrame([(*k, n) for k, n in sizes.items()], "domain string, lang string, source string, tokens long")
+        budgets = {(x.domain, x.lang, x.source): x.budget for x in leaf_budgets(leaves, share * sum(sizes.values()), weights, 3).collect()}
+        assert {i: x.tokens_taken for i, x in got.items()} == brute_draw(rows, budgets)
+        drawn = Counter()
+        for x in got.values():
+            drawn["d", x.lang, x.source] += x.tokens_taken
+            assert x.tokens_taken == x.copies * x.tokens + x.prefix_tokens and x.prefix_tokens < x.tokens
+            assert (x.prefix or "").split() == x.text.split()[: x.prefix_tokens] and x.text.startswith(x.prefix or "")
+        assert drawn == Counter({k: n for k, n in budgets.items() if n})
+        assert abs(sum(drawn.values()) - min(share, 3) * sum(sizes.values())) <= len(sizes)
+
+
+def test_draw_follows_the_target_weights():
+    import duckdb
+
+    from cragline.llm.queries import MIX_WEIGHTS, ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT i AS doc_id, repeat('tok ', 1 + i % 97) AS text, ['en', 'de', 'fr', 'es'][1 + i % 4] AS lang, 'src' || (i // 4 % 20) AS source FROM range(4000) t(i)")
+    got = con.execute(f"SELECT domain_name, sum(tokens_taken) FROM ({ORACLE_SQL['op7_mixing']}) GROUP BY 1").fetchall()
+    total = sum(n for _, n in got)
+    assert all(abs(n / total - MIX_WEIGHTS["domain"][d] / 10) < 0.01 for d, n in got) and len(got) == 4
 
 
 def test_mixing_edge_cases(spark):
@@ -78,9 +117,9 @@ def test_mixing_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = mix(docs, F.lit(None).cast("string"), budget_share=1.0).collect()
     assert {x.domain_name for x in got} == {"(none)"} and all(x.doc_id not in (2, 3) for x in got)
-    assert sum(x.doc_id == 1 for x in got) in (0, 2)
+    assert len({(x.copies, x.prefix_tokens) for x in got if x.doc_id == 1}) <= 1  # repeated rows are drawn alike
     full = mix(docs, F.lit("d"), budget_share=9.0, max_epochs=2).collect()
-    assert len(full) == 5 and all(x.copies == 2 for x in full)
+    assert len(full) == 5 and all(x.copies == 2 and x.prefix is None for x in full)
     shuffled = mix(docs, F.lit("d"), budget_share=0.5, broadcast_leaves=0)
     assert sorted(map(str, shuffled.collect())) == sorted(map(str, mix(docs, F.lit("d"), budget_share=0.5).collect()))
     assert mix(docs.limit(0), F.lit("d")).count() == 0
