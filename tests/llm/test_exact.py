@@ -12,7 +12,7 @@ from cragline.llm.license_texts import LICENSES
 from cragline.llm.licenses import license_digests, scan_licenses
 from cragline.llm.line_dedup import dedup_lines
 from cragline.llm.near_duplicates import connected_components, least_matches, near_duplicates, one_of_each
-from cragline.llm.topk import quantise, top_k
+from cragline.llm.topk import LOWEST, Search, quantise, top_k
 
 rng = random.Random(4)
 
@@ -178,6 +178,28 @@ def test_top_k_matches_brute_force(spark, scale):
             assert sorted(best) == [(n, i, int(s[i])) for n, i in enumerate(order, 1)]
 
 
+@pytest.mark.parametrize("shape", ["lengths", "spectrum", "alike"])
+def test_top_k_scores_few_pairs_exactly(shape):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 64))
+    if shape == "lengths":
+        x *= r.exponential(size=(6000, 1)) ** 2
+    if shape == "spectrum":
+        x *= 0.85 ** np.arange(64)
+    z = np.floor(x * 1024).astype(np.int64)
+    order = np.argsort(-(z.astype(float) ** 2).sum(axis=1), kind="stable")
+    rotation = np.linalg.eigh((z.T @ z).astype(float))[1][:, ::-1]
+    s = Search(z[:50], np.arange(50), rotation, np.full(50, LOWEST), 10)
+    for a in range(0, 6000, 1000):
+        s.block(z[order[a : a + 1000]], order[a : a + 1000])
+    product = z[:50] @ z.T
+    for i in range(50):
+        want = sorted((j for j in range(6000) if j != i), key=lambda j: (-int(product[i, j]), j))[:10]
+        assert s.best.id[i].tolist() == want and s.best.score[i].tolist() == [int(product[i, j]) for j in want]
+    # the first block has no bar to reach yet
+    assert s.pairs == 50 * 6000 and s.scored - 50 * 1000 < 0.02 * s.pairs
+
+
 def test_top_k_small_tables(spark):
     v = quantise(spark.createDataFrame([(0, [1.0, 2.0]), (100, [0.5])], "vec_id long, embedding array<double>"))
     assert sorted(map(tuple, top_k(v, v).collect())) == [(0, 1, 100, 1024 * 512), (100, 1, 0, 1024 * 512)]
