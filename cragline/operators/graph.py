@@ -7,29 +7,15 @@ driver, with the same results.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.operators import kernels as K
+from cragline.sources.scratch import cut, discard
 
 KERNEL_EDGES = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df read back from a table in the folder of spark.checkpoint.dir (or one of our own where it is unset)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cragline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def package_of(c: str):
     return F.when(F.instr(c, ".") > 0, F.regexp_replace(c, r"\.[^.]*$", "")).otherwise("")
 
@@ -80,8 +66,9 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
         left = core.count()
         if left in (n, 0):
             return core
-        n = left
+        n, before = left, core
         core = cut(core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        discard(before)
 
 
 def _small(edges: DataFrame, limit: int) -> K.Graph | None:
@@ -107,10 +94,12 @@ def is_cyclic(edges: DataFrame, kernel_limit: int = KERNEL_EDGES) -> DataFrame:
 
 def _spread(edges: DataFrame, labels: DataFrame, keep_largest: bool = False) -> DataFrame:
     """labels(v, label) after the smallest label has flowed along edges (a -> b) to a fixed point."""
-    before = None
+    before = old = None
     while True:
         flow = edges.join(labels.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), "label")
         labels = cut(labels.unionByName(flow).groupBy("v").agg(F.min("label").alias("label")))
+        discard(old)
+        old = labels
         now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("v", "label").cast("decimal(38,0)"))).first())
         if now == before:
             return labels
