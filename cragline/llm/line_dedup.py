@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cragline.llm.common import materialize
+from cragline.llm.common import discard, marked, materialize
 
 VARIABLE = "<*>"
-WORD_BITS = 32_768  # fixed value: bits of a row that bitmap_construct_agg makes
-MOST_BITS = 1 << 27
 
 
 def _lines(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -39,33 +37,16 @@ def _lines(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return rows.select("_id", "_hash", "pos", "masked", F.xxhash64("tokens", path).alias("leaf"), F.xxhash64("masked").alias("line"), "short")
 
 
-def _may_hold(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of texts whose _hash may be among wanted(_hash): all that are, and few others.
-
-    The filter is a bitmap of at most MOST_BITS bits, 16 for each wanted text, broadcast as rows of 4 kB. Where
-    that bound is reached more rows pass, which costs time and nothing else: an exact join follows.
-    """
-    n = wanted.count()
-    bits = WORD_BITS
-    while bits < min(16 * n, MOST_BITS):
-        bits *= 2
-    place = F.pmod(F.xxhash64("_hash"), F.lit(bits)) + 1
-    words = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
-    rows = texts.withColumn("_place", place).withColumn("_word", F.bitmap_bucket_number("_place")).join(F.broadcast(words), "_word")
-    at = F.bitmap_bit_position("_place")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(texts.columns)
-
-
-def _shapes(held: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """held(leaf, line, tokens, n) -> leaf, line, template of the lines that the template of their group fixes well enough.
+def _shapes(held: DataFrame, min_docs: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """held(leaf, line, tokens, n) -> leaf, line, template of the lines that the template of their group fixes well
+    enough, and the intermediate tables that this reads.
 
     A group starts as a leaf. A token that more than half of the group's documents have at its position is fixed
     there, at most one for each position, so a group has one template. A line of whose tokens the template fixes too few goes on
     with the lines that share the commonest of its other tokens: at most half of the group, so rounds are few. Only
     lines that can no longer match are left out: supports never grow, and each fixed token has min_docs documents.
     """
-    lines, done = held.withColumn("group", F.col("leaf")), None
+    lines, done, used, before = held.withColumn("group", F.col("leaf")), None, [], None
     while True:
         words = lines.select("group", "leaf", "line", "n", F.posexplode("tokens").alias("at", "token")).filter(F.col("token") != VARIABLE)
         support = words.groupBy("group", "at", "token").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_docs)
@@ -78,14 +59,17 @@ def _shapes(held: DataFrame, min_docs: int, similarity: float) -> DataFrame:
         need = F.ceil(F.size("tokens") * similarity) - fields
         sized = lines.select("leaf", "line", "n", "tokens", need.alias("need")).join(found, ["leaf", "line"]).filter(F.col("supported") >= F.col("need"))
         sized = materialize(sized, "line-groups")
+        used.append(sized)
+        discard(before)
         shapes = sized.filter(F.col("fixed") >= F.col("need")).select("leaf", "line", F.xxhash64("group", F.lit(VARIABLE)).alias("template"))
         done = shapes if done is None else done.unionByName(shapes)
         rest = sized.filter((F.col("fixed") < F.col("need")) & F.col("other").isNotNull())
         rest = rest.select("leaf", "line", "n", "tokens", F.xxhash64("group", "other.at", "other.token").alias("group"))
         large = rest.groupBy("group").agg(F.sum("n").alias("group_n"), F.count("*").alias("group_lines")).filter((F.col("group_lines") > 1) & (F.col("group_n") >= min_docs))
         lines = materialize(rest.join(large.select("group"), "group", "left_semi"), "line-rest")
+        before = lines
         if lines.isEmpty():
-            return done
+            return done, used
 
 
 def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity: float = 0.8, min_tokens: int = 4, short_docs: int = 16) -> DataFrame:
@@ -101,14 +85,16 @@ def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarit
     leaves = lines.filter("NOT short").groupBy("leaf").agg(F.sum("n").alias("leaf_n"), F.count("*").alias("leaf_lines")).filter((F.col("leaf_lines") > 1) & (F.col("leaf_n") >= min_docs)).select("leaf")
     mixed = materialize(lines.filter("NOT short").join(leaves, "leaf").select("line", "n", "first.*"), "line-leaves")
     same = mixed.select(F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("pos").alias("p"), F.col("line").alias("l"), "n")
-    every = _lines(_may_hold(texts_of, mixed.select("_hash").distinct()), depth, min_tokens).filter("NOT short")
+    every = _lines(marked(texts_of, "_hash", mixed.select("_hash").distinct(), "_may").filter("_may"), depth, min_tokens).filter("NOT short")
     held = every.join(same, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("line") == F.col("l")))
     held = held.select("leaf", "line", "masked", "n").dropDuplicates(["leaf", "line"])
     held = materialize(held.select("leaf", "line", F.split("masked", " ").alias("tokens"), "n"), "line-tokens")
-    shapes = _shapes(held, min_docs, similarity)
+    discard(mixed)
+    shapes, groups = _shapes(held, min_docs, similarity)
     # the other lines: a line that recurs by itself
     alone = lines.filter(F.col("n") >= F.when(F.col("short"), F.lit(short_docs)).otherwise(F.lit(min_docs))).join(shapes, ["leaf", "line"], "left_anti").select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
     templates = materialize(shapes.unionByName(alone), "line-templates")
+    discard(lines, held, *groups)
     placed = light.join(templates, ["leaf", "line"]).select(*key, "pos", "template")
     found = placed.groupBy("template", *key).agg(F.min("pos").alias("pos"))
     recurring = found.groupBy("template").agg(F.count("*").alias("docs"), F.min(own).alias("first")).filter(F.col("docs") >= min_docs).select("template", "first")

@@ -1,7 +1,8 @@
 """WARC archives with records compressed one by one under a Zstandard dictionary.
 
-Each task trains a dictionary from the records that it writes first (a bounded number of bytes), puts it into
-a leading skippable frame of its archive, and writes every record as a frame of its own. Archives are written
+Each task builds a dictionary from the records that it writes first (a bounded number of bytes), puts it into
+a leading skippable frame of its archive, and writes every record as a frame of its own. A few records are too little
+to train on: their own bytes are the dictionary then. Archives are written
 under a name of the attempt and renamed when complete, so a task that is lost or runs twice leaves no half
 archive under a final name, and only the archives that the finished tasks report are read.
 """
@@ -9,6 +10,7 @@ archive under a final name, and only the archives that the finished tasks report
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import struct
@@ -21,7 +23,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cragline.llm.common import materialize, shared_dir
+from cragline.llm.common import marked, materialize, scratch_dir
+from cragline.sources.scratch import qualified
 
 DICTIONARY_FRAME = 0x184D2A5D  # fixed value: magic number of the skippable frame for dictionaries in .warc.zst
 DICTIONARY_BYTES = 64 << 10
@@ -42,7 +45,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        *([] if url is None else ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -68,14 +71,12 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary of these records; None where they are too few or too alike to train on."""
-    if len(samples) < 8:
-        return None
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8, level=LEVEL)
-    except zstandard.ZstdError:
-        return None
+def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary of these records; of records that are too few or too alike to train on, their own first bytes."""
+    if len(samples) >= 8:
+        with contextlib.suppress(zstandard.ZstdError):
+            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8, level=LEVEL)
+    return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class Writer:
@@ -96,9 +97,8 @@ class Writer:
     def start(self) -> None:
         samples = [x[: 128 << 10] for x in self.waiting]
         trained = train(samples)
-        if trained:
-            raw = trained.as_bytes()
-            self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
+        raw = trained.as_bytes()
+        self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
         self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
         for x in self.waiting:
             self.out.write(self.packer.compress(x))
@@ -138,13 +138,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     The payload is html in UTF-8 (null: empty). Of records with equal payloads, that with the smallest page_id
     is the response and others are revisits of it; rows that repeat that page_id with that payload, and all of a
-    group whose page_ids are null, are responses themselves. Payloads are told apart by SHA-1 and size.
+    group whose page_ids are null, are responses themselves. Payloads are told apart by SHA-1 and size. Only payloads that
+    a bitmap of the repeated digests lets through are shuffled; the others are written where they are read.
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload"))
-    light = pages.select("page_id", payload.alias("payload")).select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size"))
-    groups = light.groupBy("digest", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = rows.join(groups, ["digest", "size"], "left").select("page_id", "url", "payload", "first_id")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload")).withColumn("_key", F.xxhash64("digest", "size"))
+    groups = rows.groupBy("digest", "size", "_key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = materialize(groups, "warc-groups")
+    rows = marked(rows, "_key", groups.select("_key"), "_may")
+    own = ["page_id", "url", "payload"]
+    alone = rows.filter("NOT _may").select(*own, F.lit(None).cast(pages.schema["page_id"].dataType).alias("first_id"))
+    twice = rows.filter("_may").join(groups.drop("_key"), ["digest", "size"], "left").select(*own, "first_id")
+    pairs = alone.unionByName(twice)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -161,13 +166,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             store.move(f"{base}/{name}.part", f"{base}/{name}.warc.zst")
             yield pa.RecordBatch.from_pydict({"path": [f"{name}.warc.zst"]})
 
-    return marked.mapInArrow(write, "path string")
+    return pairs.mapInArrow(write, "path string")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """archives(path) under folder -> page_id, url, payload_bytes, payload_digest, record_type, refers_to, intact.
 
-    A response's size and digest are computed from the payload that was read; a revisit's come from its headers.
+    url is null where it was. A response's size and digest are computed from the payload that was read; a revisit's come from its headers.
     intact says whether a response's digest is the one in its header (true for revisits).
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
@@ -177,10 +182,10 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         said = head["warc-payload-digest"].removeprefix("sha1:")
         page = int(head["x-page-id"]) if "x-page-id" in head else None
         if head["warc-type"] == "revisit":
-            return page, head["warc-target-uri"], int(head["x-payload-length"]), said, "revisit", int(head["x-refers-to-page-id"]), True
+            return page, head.get("warc-target-uri"), int(head["x-payload-length"]), said, "revisit", int(head["x-refers-to-page-id"]), True
         payload = block.partition(b"\r\n\r\n")[2]
         digest = base32_sha1(payload)
-        return page, head["warc-target-uri"], len(payload), digest, "response", None, digest == said and len(payload) == int(head["x-payload-length"])
+        return page, head.get("warc-target-uri"), len(payload), digest, "response", None, digest == said and len(payload) == int(head["x-payload-length"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -206,5 +211,5 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame
     The list of archives is written as a table before it is read, so a retry of a reading task never writes
     again. Empty tables give no archive and an empty result.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = qualified(pages.sparkSession, folder or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     return read_archives(materialize(write_archives(pages, folder), "warc-list"), folder)
