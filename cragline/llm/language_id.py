@@ -94,7 +94,7 @@ class Encoder:
         first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
         ends = np.searchsorted(doc, np.arange(stop - start + 1))
         step = max(1, MAX_CELLS // max(4096, len(distinct)))
-        wide = max(1, 16 * MAX_CELLS // self.dim)
+        wide = max(1, 2 * MAX_CELLS // self.dim)
         for a in range(0, stop - start, step):
             b = min(a + step, stop - start)
             own = grams[ends[a] : ends[b]].astype(np.int64) + (doc[ends[a] : ends[b]] - a).astype(np.int64) * len(distinct)

@@ -3,12 +3,14 @@
 Indicators of n-grams are scaled by their class log-count ratios; a linear hinge-loss model is fitted to
 them by dual coordinate descent, and a sigmoid turns its margins into probabilities.
 
-The n-grams are character trigrams of the text as written, hashed into a fixed number of slots, and
-four-grams over the marks "same word as the one before" and "another word".
+The n-grams are character trigrams of the text as written and word bigrams, both hashed into a fixed number of slots,
+and four-grams of words up to renaming: which of four neighbouring words are the same.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +18,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from cragline.llm.common import bounded_sample
 
 SLOTS = 1 << 16
-MARKS = 16
-WIDTH = SLOTS + MARKS
+#: The ways in which four words can be equal: 0000, 0001, 0010, 0011, 0012, .., the words numbered as they first occur.
+PATTERNS = {p: k for k, p in enumerate(p for p in itertools.product(range(4), repeat=4) if all(x <= max(p[:i], default=-1) + 1 for i, x in enumerate(p)))}
+WIDTH = 2 * SLOTS + len(PATTERNS)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Slots of 32-bit hashes."""
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return h >> np.uint32(16)
+
+
+def _patterns(w: np.ndarray) -> np.ndarray:
+    """The pattern of each run of four words, as slots."""
+    a, b, c, d = w[:-3], w[1:-2], w[2:-1], w[3:]
+    second = (b != a).astype(np.int64)
+    third = np.where(c == a, 0, np.where(c == b, second, second + 1))
+    fourth = np.where(d == a, 0, np.where(d == b, second, np.where(d == c, third, np.maximum(second, third) + 1)))
+    numbers = np.zeros(64, np.int64)
+    for (_, x, y, z), k in PATTERNS.items():
+        numbers[x * 16 + y * 4 + z] = k
+    return numbers[second * 16 + third * 4 + fourth]
 
 
 def indicators(text: str) -> np.ndarray:
@@ -29,14 +52,12 @@ def indicators(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     there = np.zeros(WIDTH, bool)
     if len(points) > 2:
-        h = points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        there[h >> np.uint32(16)] = True
-    words = text.split()
-    if len(words) > 4:
-        same = np.array([a == b for a, b in zip(words, words[1:], strict=False)], np.int32)
-        there[SLOTS + (same[:-3] * 8 + same[1:-2] * 4 + same[2:-1] * 2 + same[3:])] = True
+        there[_spread(points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D))] = True
+    words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint32)
+    if len(words) > 1:
+        there[SLOTS + _spread(words[:-1] * np.uint32(0x9E3779B1) ^ words[1:] * np.uint32(0x85EBCA77))] = True
+    if len(words) > 3:
+        there[2 * SLOTS + _patterns(words)] = True
     return np.flatnonzero(there)
 
 
@@ -97,18 +118,19 @@ def fit_rows(found: list[np.ndarray], labels: list[int], smoothing: float = 1.0,
     if not len(y) or (y > 0).all() or (y < 0).all():
         prior = 0.5 if not len(y) else float((y > 0).mean())
         return QualityModel(np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 1.0, 4.0 * (2 * prior - 1))
+    held = np.arange(len(y)) % 5 == 4
+    if any(not (y[held] == k).any() or not (y[~held] == k).any() for k in (1, -1)):
+        held = np.zeros(len(y), bool)
+    fitted = np.flatnonzero(~held)
+    # ratios, too, are counted over fitted rows alone, so that the others calibrate what they have not been seen by
     counts = np.full((2, WIDTH), smoothing)
-    for on, label in zip(found, y, strict=True):
-        counts[int(label > 0), on] += 1
+    for i in fitted:
+        counts[int(y[i] > 0), found[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     rows = []
     for on in found:
         v = ratio[on]
         rows.append((np.append(on, WIDTH), np.append(v / (np.sqrt(v @ v) or 1.0), 1.0)))
-    held = np.arange(len(y)) % 5 == 4
-    if any(not (y[held] == k).any() or not (y[~held] == k).any() for k in (1, -1)):
-        held = np.zeros(len(y), bool)
-    fitted = [i for i in range(len(y)) if not held[i]]
     w = _descend([rows[i] for i in fitted], y[fitted], cost, epochs, seed)
     margins = np.array([float(w[at] @ v) for at, v in rows])
     used = held if held.any() else np.ones(len(y), bool)
@@ -130,8 +152,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train_docs_per_class:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (t, q) in enumerate(zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist(), strict=True)):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i : i + 1], pa.array([q], pa.int32()), pa.array([indicators(t or "").astype(np.int32).tobytes()], pa.binary())], ["doc_id", "quality", "on"])
+            on = [indicators(t or "").astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(on, pa.binary())], ["doc_id", "quality", "on"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sorted(rows.mapInArrow(features, f"doc_id {kind}, quality int, on binary").collect(), key=lambda r: (r.doc_id, r.on))
@@ -155,6 +177,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     fields = docs.select(*[F.col(f"`{c}`") for c in kept])
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-
     return fields.mapInArrow(scored, StructType([*fields.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
