@@ -8,7 +8,8 @@ over the similarity. The exact similarity of what is left is computed from the s
 first band that brings it together, so no pair counts twice and no pair list is shuffled: a task returns the
 number of links of each of its members and a spanning forest of its links.
 
-Large buckets are cut into chunks, and each pair of chunks is a task of its own.
+Large buckets are cut into chunks, and each pair of chunks is a task of its own. Chunks grow with the bucket up to a
+bound, as a set of shingles goes into as many tasks as there are chunks.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cragline.llm.common import materialize
+from cragline.llm.common import discard, materialize
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
@@ -226,7 +227,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small, "cc")
+        old, edges = edges, materialize(small, "cc")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == before:
             break
@@ -234,7 +236,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, chunk_rows: int = 1024, chunk_shingles: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, chunk_rows: int = 1024, chunk_shingles: int = 2_000_000, most_chunks: int = 32) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id, n_links, text_id, text_copies, for every row.
 
     Two texts are linked when the Jaccard similarity of their sets of five-word shingles (lower case, parted by
@@ -242,7 +244,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     the rows with that set; n_links: the different sets linked with it; class_id: the smallest text_id that
     links lead to. A text of fewer than five words is one shingle; texts without words, null ones included,
     are copies of each other without links. Repeated rows are copies. Where all doc_ids of a set are null its
-    text_id is null, and such sets still link. An empty table gives an empty result.
+    text_id is null, and such sets still link. An empty table gives an empty result; other columns are not looked at.
+
+    Buckets of more than chunk_rows texts, or chunk_shingles shingles, are cut into chunks.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     key = ["hi", "lo"]
@@ -253,7 +257,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     member = F.xxhash64(*key)
     buckets = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64("lo", "hi")).alias("y"), F.sum("size").alias("total")).filter("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket", "total")).alias("first"))
-    chunks = F.greatest(F.ceil(F.col("n") / chunk_rows), F.ceil(F.col("first.total") / chunk_shingles)).cast("int")
+    # up to most_chunks chunks as small as asked for; beyond, chunks grow to eight times the texts or four times the shingles
+    texts_in, shingles_in = F.col("n") / chunk_rows, F.col("first.total") / chunk_shingles
+    chunks = F.ceil(F.greatest(F.least(F.greatest(texts_in, shingles_in), F.lit(float(most_chunks))), texts_in / 8, shingles_in / 4)).cast("int")
     buckets = buckets.select("first.band", "first.bucket", chunks.alias("chunks"))
     members = materialize(bands.join(buckets, ["band", "bucket"]).select(*key, "band", "bucket", "chunks"), "members")
     chunk = F.pmod(member, F.col("chunks")).cast("int")
@@ -269,6 +275,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     units = units.join(full, key)
     found = units.groupBy("band", "bucket", "a", "b").applyInPandas(lambda frame: _unit(frame, threshold, least), "hi long, lo long, links long, to_hi long, to_lo long")
     found = materialize(found, "links")
+    discard(full, members)
     links = found.groupBy(*key).agg(F.sum("links").alias("n_links"))
     node, to = F.struct("hi", "lo"), F.struct(F.col("to_hi").alias("hi"), F.col("to_lo").alias("lo"))
     parts = connected_components(found.select(node.alias("a"), to.alias("b")))
@@ -278,6 +285,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     named = named.join(parts.select(*key, "component").join(names, "component").select(*key, "class_id"), key, "left")
     named = named.select(*key, "text_id", "text_copies", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = materialize(named, "named")  # a plain table, so that the join can split a set with many copies
+    discard(found, texts)
     return rows.select("doc_id", *key).join(named, key).select("doc_id", "class_id", "n_links", "text_id", "text_copies")
 
 
