@@ -43,15 +43,20 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 
 For more information, please refer to <https://unlicense.org>""",
-    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+}
+
+#: License identifier and a notice that stands for the license.
+NOTICES = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
 
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "MIT-line": "Released under the MIT License.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-}
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+]
 
 #: Titles under which the short texts are found as well; "": without a title.
 TITLES = {
@@ -67,10 +72,12 @@ END = "END OF TERMS AND CONDITIONS"
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """license_id, text: LICENSES, their title variants, and the full texts in the folder texts, with and without appendix."""
-    rows = list(LICENSES.items())
+    """license_id, text: LICENSES, their title variants, notices, and the full texts in the folder texts, with and without
+    appendix. A GNU text by itself says "only" of its version."""
+    rows = list(LICENSES.items()) + NOTICES
     rows += [(k, f"{title}\n\n{LICENSES[k].split(chr(10), 1)[1]}") for k, titles in TITLES.items() for title in titles]
     for path in sorted((Path(__file__).parent / "texts").glob("*.txt")):
         text = path.read_text(encoding="utf-8")
-        rows += [(path.stem, text)] + [(path.stem, text.split(END)[0] + x) for x in ("", END) if END in text]
+        name = f"{path.stem}-only" if path.stem.startswith(("GPL", "LGPL", "GFDL")) else path.stem
+        rows += [(name, text)] + [(name, text.split(END)[0] + x) for x in ("", END) if END in text]
     return rows

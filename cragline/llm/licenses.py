@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.llm.license_texts import LICENSES, known_texts
+from cragline.llm.license_texts import known_texts
 
-#: Spellings that count as equal.
+#: Spellings that count as equal, as license matching guidelines list them, and some more.
 EQUIVALENT = {
-    "acknowledgement": "acknowledgment", "analogue": "analog", "authorisation": "authorization", "authorised": "authorized", "behaviour": "behavior",
-    "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "customised": "customized", "defence": "defense", "favour": "favor", "fulfil": "fulfill",
-    "fulfilment": "fulfillment", "honour": "honor", "judgement": "judgment", "labelled": "labeled", "licence": "license", "licenced": "licensed", "licences": "licenses",
-    "modelled": "modeled", "organisation": "organization", "organisations": "organizations", "practise": "practice", "programme": "program", "recognised": "recognized",
-    "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "behaviour": "behavior",
+    "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center", "customised": "customized", "defence": "defense",
+    "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "honour": "honor", "https": "http", "initialise": "initialize", "judgement": "judgment",
+    "labelled": "labeled", "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "licences": "licenses", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling",
+    "offence": "offense", "optimise": "optimize", "organisation": "organization", "organisations": "organizations", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize",
+    "recognise": "recognize", "recognised": "recognized", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "wilfull": "willful",
 }
+#: The same for two words, after the single ones.
+EQUIVALENT_PAIRS = {"copyright owner": "copyright holder", "copyright owners": "copyright holders", "non commercial": "noncommercial", "per cent": "percent", "sub license": "sublicense"}
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<|\[|by )|©|\(c\)[ \t]*(copyright|[0-9]{4}|<|\[)|all rights reserved)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -30,11 +33,13 @@ def canonical(text: Column) -> Column:
     text = F.concat(F.lit("  "), F.regexp_replace(text, NOT_WORD, "  "), F.lit("  "))  # each word has blanks of its own
     for a, b in EQUIVALENT.items():
         text = F.replace(text, F.lit(f" {a} "), F.lit(f" {b} "))
+    for a, b in EQUIVALENT_PAIRS.items():
+        text = F.replace(text, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
 def license_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """license_id, digest of the known texts; of texts with equal forms the smallest license_id stays."""
+    """license_id (as SPDX names them), digest of the known texts; of texts with equal forms the smallest license_id stays."""
     rows = spark.createDataFrame(known_texts() if texts is None else list(texts.items()), "license_id string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
@@ -51,21 +56,3 @@ def scan_licenses(docs: DataFrame, digests: DataFrame, broadcast_rows: int = 100
     if digests.limit(broadcast_rows + 1).count() <= broadcast_rows:
         known = F.broadcast(known)
     return forms.join(known, "digest", "left").select("doc_id", "digest", "license_id")
-
-
-def scan_sql() -> str:
-    """The same scan over `documents` in SQL."""
-
-    def form(text: str) -> str:
-        text = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', chr(10), 'g')".replace("\\n", "\\n")
-        text = f"'  ' || regexp_replace({text}, '{NOT_WORD}', '  ', 'g') || '  '"
-        for a, b in EQUIVALENT.items():
-            text = f"replace({text}, ' {a} ', ' {b} ')"
-        return f"sha256(trim(regexp_replace({text}, ' +', ' ', 'g')))"
-
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSES.items())
-    return f"""
-        WITH known AS (SELECT {form('column1')} AS digest, min(column0) AS license_id FROM (VALUES {values}) AS t(column0, column1) GROUP BY 1),
-        forms AS (SELECT doc_id, {form('text')} AS digest FROM documents)
-        SELECT doc_id, forms.digest, license_id FROM forms LEFT JOIN known USING (digest)
-    """

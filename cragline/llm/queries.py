@@ -11,7 +11,7 @@ from cragline.llm import sql
 from cragline.llm.common import bucket_of, table
 from cragline.llm.decontaminate import contamination
 from cragline.llm.language_id import identify_language, train_prototypes
-from cragline.llm.licenses import license_digests, scan_licenses, scan_sql
+from cragline.llm.licenses import license_digests, scan_licenses
 from cragline.llm.line_dedup import dedup_lines
 from cragline.llm.mixing import mix
 from cragline.llm.near_duplicates import near_duplicates
@@ -90,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_license_scan": scan_sql(),
+    "op6_license_scan": sql.license_sql(),
     "op7_mixing": sql.mixing_sql(MIX_WEIGHTS),
     "op8_top_k": sql.TOP_K,
     "op10_warc": sql.WARC,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from cragline.llm.license_texts import known_texts
+from cragline.llm.licenses import EQUIVALENT, EQUIVALENT_PAIRS
+
 
 def _pour(name: str, parents: list[str], level: str, nodes: str) -> str:
     """CTEs that share the parents' `given` among the nodes(parents, level, weight, cap, given), as {name}(.., budget).
@@ -70,3 +73,25 @@ WARC = """
         CASE WHEN page_id <> first_id THEN first_id END AS refers_to
     FROM b
 """
+
+
+def license_sql() -> str:
+    """Line by line without the copyright lines, word by word with one spelling, then pairs of words; both sides alike."""
+    spelling = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EQUIVALENT.items())
+
+    def form(table: str) -> str:
+        pairs = "'  ' || array_to_string(words, '  ') || '  '"
+        for a, b in EQUIVALENT_PAIRS.items():
+            pairs = f"replace({pairs}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"""SELECT *, sha256(array_to_string(list_filter(string_split({pairs}, ' '), lambda w: w <> ''), ' ')) AS digest FROM (
+            SELECT *, list_transform(regexp_extract_all(array_to_string(list_filter(string_split(lower(coalesce(text, '')), chr(10)),
+                lambda l: NOT regexp_matches(l, '^[^\\p{{L}}\\p{{N}}]*(copyright[ \t]*(\\(c\\)|©|[0-9]{{4}}|<|\\[|by )|©|\\(c\\)[ \t]*(copyright|[0-9]{{4}}|<|\\[)|all rights reserved)')), chr(10)), '[\\p{{L}}\\p{{N}}]+'),
+                lambda w: CASE w {spelling} ELSE w END) AS words FROM {table})"""
+
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in known_texts())
+    return f"""
+        WITH texts AS (SELECT column0 AS license_id, column1 AS text FROM (VALUES {values}) AS t(column0, column1)),
+        known AS (SELECT digest, min(license_id) AS license_id FROM ({form("texts")}) GROUP BY 1),
+        forms AS ({form("documents")})
+        SELECT doc_id, forms.digest, known.license_id FROM forms LEFT JOIN known USING (digest)
+    """

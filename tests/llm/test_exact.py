@@ -79,6 +79,45 @@ def test_contamination_finds_hot_quotes_and_dense_edits(spark):
     assert {(i, s) for (i, k), s in got.items() if k == 1} == {(306, 1.0)}
 
 
+def test_contamination_of_long_and_of_short_items(spark):
+    r = random.Random(11)
+    long = [f"w{k}" for k in range(200)]
+    docs = [f"{sentence(9, r)} {' '.join(long[50:110])} {sentence(9, r)}", f"{sentence(9, r)} {' '.join(long[50:75])}", "Answer!", "the answer is here", "alpha beta", "alpha", "x " * 60_000 + " ".join(long), None]
+    d = spark.createDataFrame([(i, t, 0, 0.0) for i, t in enumerate(docs)], "doc_id long, text string, item_id int, score double")
+    b = spark.createDataFrame([(0, " ".join(long), 1), (1, "answer", 1), (2, "alpha beta", 1)], "item_id long, text string, doc_id int")
+    got = {(x.doc_id, x.item_id): (x.score, x.first_word, x.last_word) for x in contamination(d, b).collect()}
+    assert got == {(0, 0): (0.3, 9, 69), (2, 1): (1.0, 0, 1), (4, 2): (1.0, 0, 2), (6, 0): (1.0, 60_000, 60_200)}
+    left = clean_documents(d, b)
+    assert left.columns == d.columns and sorted(x.doc_id for x in left.collect()) == [1, 3, 5, 7]
+
+
+def test_contamination_matches_alignment_of_all_pairs(spark):
+    """Seeds and windows lose nothing: every pair that the full table scores high enough is found, and no other."""
+    r = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(40)]
+    items = [[r.choice(vocabulary) for _ in range(r.choice([3, 5, 12, 40, 90]))] for _ in range(12)]
+
+    def edited(words):
+        out = []
+        for w in words:
+            x = r.random()
+            out += [] if x < 0.1 else [r.choice(vocabulary)] if x < 0.25 else [w, "zz"] if x < 0.35 else [w]
+        return out
+
+    docs = [[r.choice(vocabulary) for _ in range(r.randint(0, 60))] + edited(r.choice(items)) + [r.choice(vocabulary) for _ in range(r.randint(0, 60))] for _ in range(60)]
+    got = contamination(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    got = {(x.doc_id, x.item_id): round(x.score, 9) for x in got.collect()}
+    want = {}
+    for i, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            score = brute_alignment(item, doc)
+            if score >= min(0.4 * len(item), 30):
+                want[i, k] = round(score / len(item), 9)
+    tiny = {(i, k) for i, k in want if len(items[k]) < 5}  # one word alone would do there, and a seed has two
+    assert {x: s for x, s in got.items() if x not in tiny} == {x: s for x, s in want.items() if x not in tiny}
+    assert len(got) > 60 and set(got) <= set(want)
+
+
 # ---- line deduplication
 
 
@@ -151,11 +190,29 @@ def test_license_variants(spark):
     mit = LICENSES["MIT"]
     docs = [(0, mit), (1, "Copyright (c) 2001 Someone\n" + mit.upper().replace(",", " ;")), (2, mit.replace("sublicense", "sublicence")), (3, mit + " extra"), (4, None), (5, ""), (6, LICENSES["Zlib"].replace("acknowledgment", "acknowledgement")), (6, LICENSES["Zlib"]), (None, "Released under the MIT Licence.")]
     rows = scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), license_digests(spark)).collect()
-    assert sorted((str(r.doc_id), str(r.license_id)) for r in rows) == sorted([("0", "MIT"), ("1", "MIT"), ("2", "MIT"), ("3", "None"), ("4", "None"), ("5", "None"), ("6", "Zlib"), ("6", "Zlib"), ("None", "MIT-line")])
+    assert sorted((str(r.doc_id), str(r.license_id)) for r in rows) == sorted([("0", "MIT"), ("1", "MIT"), ("2", "MIT"), ("3", "None"), ("4", "None"), ("5", "None"), ("6", "Zlib"), ("6", "Zlib"), ("None", "MIT")])
     assert len({*(r.digest for r in rows if r.doc_id in (0, 1, 2))}) == 1
     assert scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), license_digests(spark), broadcast_rows=1).count() == 9
 
 
+def test_license_sql_finds_the_same(spark):
+    import duckdb
+
+    from cragline.llm import queries
+    from cragline.llm.license_texts import known_texts
+
+    rows = [(i, t) for i, (_, t) in enumerate(known_texts())]
+    rows += [(1000, "Copyright (c) 2001 A\n" + LICENSES["MIT"].replace("sublicense", "sub-licence").upper()), (1001, None), (1002, ""), (1003, "per cent and copyright owners of https programmes"), (1004, "word " * 100_000), (1005, LICENSES["ISC"] + " x"), (None, LICENSES["ISC"])]
+    docs = spark.createDataFrame([(i, t, "q", 1) for i, t in rows], "doc_id long, text string, digest string, license_id int")
+    got = sorted(tuple(map(str, r)) for r in scan_licenses(docs, license_digests(spark)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(tuple(map(str, r)) for r in con.execute(queries.ORACLE_SQL["op6_license_scan"]).fetchall())
+    assert got == want and sum(x[2] != "None" for x in got) == len(known_texts()) + 2
+    assert scan_licenses(docs.limit(0), license_digests(spark)).count() == 0
+
+
 # ---- top-k
 
 
@@ -300,6 +357,24 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_null_urls_and_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, "<p>a</p>", 5, "x"), (2, "", "<p>b</p>", 5, "x"), (3, "u", "<p>a</p>", 5, "x")], "page_id long, url string, html string, first_id int, digest string")
+    got = {r.page_id: (r.url, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages, str(tmp_path / "w")).collect()}
+    assert got == {1: (None, "response", None), 2: ("", "response", None), 3: ("u", "revisit", 1)}
+
+
+@pytest.mark.parametrize("records", [[b"WARC/1.1 only one"], [b"WARC/1.1 x", b"WARC/1.1 y"], [b"WARC/1.1 same"] * 40, [b"WARC/1.1 a", b"", b"WARC/1.1 b" * 50_000]])
+def test_small_archives_have_a_dictionary_too(tmp_path, records):
+    path = tmp_path / "a.zst"
+    writer = warc.Writer(path.open("wb"))
+    for x in records:
+        writer.add(x)
+    writer.close()
+    raw = path.read_bytes()
+    assert int.from_bytes(raw[:4], "little") == warc.DICTIONARY_FRAME and int.from_bytes(raw[4:8], "little") > 0
+    assert list(warc.read_records(path.open("rb"))) == records
+
+
 def test_archive_has_a_leading_dictionary(tmp_path):
     records = [warc.record(i, "u", sentence(50).encode(), "D", None, False) for i in range(400)]
     path = tmp_path / "a.zst"
