@@ -48,8 +48,11 @@ def is_override(annotations: Column) -> Column:
 
 
 def short_signature(signature: Column) -> Column:
-    """name(Type,Type) without packages and type arguments inside the parentheses."""
+    """name(Type,Type) without packages and type arguments inside the parentheses; a type variable as its name alone."""
     inner = F.regexp_extract(signature, r"\((.*)\)", 1)
+    variable = r"Generic\{(\w+)[^}]*\}"
+    inner = F.regexp_replace(inner, variable + r",\s*Generic\{\1\}>\}", "$1")  # a bound that repeats its variable
+    inner = F.regexp_replace(inner, variable, "$1")
     for _ in range(3):  # nested type arguments
         inner = F.regexp_replace(inner, r"<[^<>]*>", "")
     inner = F.regexp_replace(inner, r"(?:[A-Za-z_$][\w$]*\.)+([A-Za-z_$][\w$]*)", "$1")

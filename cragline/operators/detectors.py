@@ -32,7 +32,7 @@ GOD = f"atfd > {FEW} AND wmc >= {WMC_VERY_HIGH} AND tcc < {THIRD}"
 METHOD_RULES = {
     "brain_method": Rule(f"loc > {METHOD_LOC} AND cyclo >= {CYCLO} AND nesting >= {NESTING} AND noav > {MANY}", (("LOC", "loc", "asc"), ("CYCLO", "cyclo", "asc"), ("MAXNESTING", "nesting", "asc"), ("NOAV", "noav", "asc")), "method"),
     "feature_envy": Rule(f"atfd > {FEW} AND laa < {THIRD} AND fdp <= {FEW}", (("ATFD", "atfd", "asc"), ("LAA", "laa", "desc"), ("FDP", "fdp", "desc")), "method"),
-    "intensive_coupling": Rule(f"((cint > {MANY} AND cdisp_region < {HALF}) OR (cint > {FEW} AND cdisp_region < {QUARTER})) AND nesting > {SHALLOW}", (("CINT", "cint", "asc"), ("CDISP", "cdisp_region", "desc"), ("MAXNESTING", "nesting", "asc")), "method"),
+    "intensive_coupling": Rule(f"((cint > {MANY} AND cdisp < {HALF}) OR (cint > {FEW} AND cdisp < {QUARTER})) AND nesting > {SHALLOW}", (("CINT", "cint", "asc"), ("CDISP", "cdisp", "desc"), ("MAXNESTING", "nesting", "asc")), "method"),
     "dispersed_coupling": Rule(f"cint > {MANY} AND cdisp >= {HALF} AND nesting > {SHALLOW}", (("CINT", "cint", "asc"), ("CDISP", "cdisp", "asc"), ("MAXNESTING", "nesting", "asc")), "method"),
 }
 
@@ -40,7 +40,7 @@ CALLEE_RULES = {"shotgun_surgery": Rule(f"cm > {MANY} AND cc > {MANY}", (("CM",
 
 CLASS_RULES = {
     "god_class": Rule(GOD, (("ATFD", "atfd", "asc"), ("WMC", "wmc", "asc"), ("TCC", "tcc", "desc"))),
-    "data_class": Rule(f"woc < {THIRD} AND ((accessors > {FEW} AND wmc < {WMC_HIGH}) OR (accessors > {MANY} AND wmc < {WMC_VERY_HIGH}))", (("WOC", "woc", "desc"), ("PublicAttrsAndAccessors", "accessors", "asc"), ("WMC", "wmc", "desc"))),
+    "data_class": Rule(f"woc < {THIRD} AND ((nopa + accessors > {FEW} AND wmc < {WMC_HIGH}) OR (nopa + accessors > {MANY} AND wmc < {WMC_VERY_HIGH}))", (("WOC", "woc", "desc"), ("PublicAttrsAndAccessors", "open_members", "asc"), ("WMC", "wmc", "desc"))),
     "brain_class": Rule(f"NOT ({GOD}) AND wmc >= {WMC_VERY_HIGH} AND tcc < {HALF} AND ((brains > 1 AND loc >= {CLASS_LOC}) OR (brains = 1 AND loc >= {2 * CLASS_LOC} AND wmc >= {2 * WMC_VERY_HIGH}))", (("BrainMethods", "brains", "asc"), ("LOC", "loc", "asc"), ("WMC", "wmc", "asc"), ("TCC", "tcc", "desc"))),
     "refused_bequest": Rule(f"parent_key IS NOT NULL AND (bovr < {THIRD} OR (n_prot > {FEW} AND bur < {THIRD})) AND nom > {NOM_AVERAGE} AND (amw > {AMW_AVERAGE} OR wmc > {WMC_AVERAGE})", (("NProtM", "n_prot", "asc"), ("BUR", "bur", "desc"), ("BOvR", "bovr", "desc"), ("NOM", "nom", "asc"), ("AMW", "amw", "asc"), ("WMC", "wmc", "asc"))),
     "tradition_breaker": Rule(f"parent_amw > {AMW_AVERAGE} AND parent_nom > {NOM_HIGH // 2} AND parent_wmc >= {WMC_VERY_HIGH // 2} AND nom >= {NOM_HIGH} AND (amw > {AMW_AVERAGE} OR wmc >= {WMC_VERY_HIGH}) AND nas >= {NOM_AVERAGE} AND pnas >= {TWO_THIRDS}", (("NAS", "nas", "asc"), ("PNAS", "pnas", "asc"), ("NOM", "nom", "asc"), ("AMW", "amw", "asc"), ("WMC", "wmc", "asc"), ("Overridden", "overridden", "asc"))),
@@ -54,6 +54,8 @@ KEYS = {"class": ["class_fqn"], "method": ["class_fqn", "method"], "callee": ["c
 def detect(metrics: DataFrame, name: str) -> DataFrame:
     """The rows of metrics that the detector flags: its key columns and its metrics under their column names."""
     rule = RULES[name]
+    if name == "data_class":
+        metrics = metrics.withColumn("open_members", F.col("nopa") + F.col("accessors"))
     return metrics.filter(F.expr(rule.predicate)).select(*KEYS[rule.level], *[c for _, c, _ in rule.metrics])
 
 
@@ -79,6 +81,16 @@ def parse_description(rows: DataFrame) -> DataFrame:
     return rows.withColumns({n: F.regexp_extract("description", pattern, i).cast(t) for i, (n, t) in enumerate((("atfd", "int"), ("wmc", "int"), ("tcc", "float")), 1)})
 
 
+def long_method(rows: DataFrame) -> DataFrame:
+    """Methods of more lines than a method should have."""
+    return rows.filter(F.expr(LONG_METHOD))
+
+
+def complex_method(rows: DataFrame) -> DataFrame:
+    """Methods whose cyclomatic complexity is high."""
+    return rows.filter(F.expr(COMPLEX_METHOD))
+
+
 def high_coupling(cbo: DataFrame, limit: int = CBO_LIMIT) -> DataFrame:
     """Classes coupled to more than limit others."""
     return cbo.filter(F.col("cbo") > limit)

@@ -17,12 +17,12 @@ from cragline.operators.graph import connected_components, vertices
 EDGE_LIMIT = 200_000
 
 
-def _collected(edges: DataFrame) -> list[tuple]:
-    """The edges, for a closure; refuses graphs that are too large for one task."""
+def _collected(edges: DataFrame):
+    """The edges as a broadcast variable, sorted; refuses graphs that are too large for one task."""
     rows = edges.select("src", "dst", "weight").limit(EDGE_LIMIT + 1).collect()
     if len(rows) > EDGE_LIMIT:
         raise ValueError(f"this operator takes graphs of up to {EDGE_LIMIT} edges")
-    return sorted(map(tuple, rows))
+    return edges.sparkSession.sparkContext.broadcast(sorted(map(tuple, rows)))
 
 
 def _kind(edges: DataFrame) -> str:
@@ -30,8 +30,11 @@ def _kind(edges: DataFrame) -> str:
 
 
 def by_part(edges: DataFrame, kernel, schema: str) -> DataFrame:
-    """kernel(graph) -> rows, run on each connected part of the graph in a task of its own."""
+    """kernel(graph) -> rows, run on each connected part of the graph in a task of its own; refuses parts that are too large for one."""
     parts = connected_components(edges)
+    sizes = edges.select("src").join(parts.withColumnRenamed("v", "src"), "src").groupBy("component").agg(F.count("*").alias("n"))
+    if not sizes.filter(F.col("n") > EDGE_LIMIT).isEmpty():
+        raise ValueError(f"this operator takes connected parts of up to {EDGE_LIMIT} edges")
     names = [f.split()[0] for f in schema.split(", ")]
     rows = edges.select("src", "dst", "weight").join(parts.withColumnRenamed("v", "src"), "src")
 
@@ -47,7 +50,7 @@ def on_whole(edges: DataFrame, kernel, schema: str) -> DataFrame:
     given = _collected(edges)
     names = [f.split()[0] for f in schema.split(", ")]
     one = edges.sparkSession.range(1, numPartitions=1)
-    return one.mapInPandas(lambda it: (pd.DataFrame(list(kernel(K.build(given))), columns=names) for _ in it), schema)
+    return one.mapInPandas(lambda it: (pd.DataFrame(list(kernel(K.build(given.value))), columns=names) for _ in it), schema)
 
 
 def dsm_order(edges: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def edge_whatif(edges: DataFrame, candidates: DataFrame | None = None, limit: in
     rows = candidates.select("src", "dst", "weight").repartition("src", "dst")
 
     def run(it):
-        g = K.build(given)
+        g = K.build(given.value)
         old = len(K.vertex_cycles(g))
         for frame in it:
             new = [len(K.vertex_cycles(K.drop_edges(g, {(a, b)}))) for a, b in zip(frame["src"], frame["dst"], strict=True)]
@@ -119,7 +122,7 @@ def sparse_whatif(edges: DataFrame) -> DataFrame:
     given = _collected(edges)
 
     def run(it):
-        g = K.build(given)
+        g = K.build(given.value)
         old = sum(w for *_, w in K.back_edges(g))
         for frame in it:
             after = [K.back_edges(K.drop_edges(g, {(a, b)})) for a, b in zip(frame["src"], frame["dst"], strict=True)]
@@ -156,7 +159,7 @@ def ordering_fas(edges: DataFrame) -> DataFrame:
 
 
 def min_fas(edges: DataFrame, mode: str = "greedy") -> DataFrame:
-    """src, dst, weight of a feedback arc set: greedy by weight, or exact on strong components of up to 14 vertices."""
+    """src, dst, weight of a feedback arc set: greedy by weight, or a lightest one, which raises an error on components that take too long."""
     kernel = {"greedy": K.greedy_fas, "exact": K.exact_fas}[mode]
     kind = _kind(edges)
     return by_part(edges, lambda g: sorted(kernel(g)), f"src {kind}, dst {kind}").join(edges, ["src", "dst"]).select("src", "dst", "weight")
@@ -240,7 +243,7 @@ def betweenness(edges: DataFrame, sample: int | None = None, seed: int = 42) ->
     sources = sources.repartition(edges.sparkSession.sparkContext.defaultParallelism, "v")
 
     def run(it):
-        near = K.both_ways(K.build(given))
+        near = K.both_ways(K.build(given.value))
         for frame in it:
             total = K.betweenness(near, list(frame["v"]))
             yield pd.DataFrame({"v": list(total), "x": [total[v] * scale for v in total]})

@@ -172,28 +172,29 @@ def line_digraph(edges: DataFrame, components: DataFrame | None = None) -> DataF
 
 
 def line_statistics(line: DataFrame) -> DataFrame:
-    """One row: line vertices and edges, sources, sinks, density."""
+    """One row: line vertices and edges, sources, sinks, mean number of successors, density."""
     a, b = F.struct(F.col("a_src").alias("s"), F.col("a_dst").alias("d")), F.struct(F.col("b_src").alias("s"), F.col("b_dst").alias("d"))
     ends = line.select(a.alias("e"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(line.select(b, F.lit(0), F.lit(1)))
     each = ends.groupBy("e").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     n = F.count("*")
-    return each.agg(n.alias("n_vertices"), F.sum("o").alias("n_edges"), F.count_if(F.col("i") == 0).alias("sources"), F.count_if(F.col("o") == 0).alias("sinks"), (F.sum("o") / F.when(n > 1, n * (n - 1))).alias("density"))
+    return each.agg(n.alias("n_vertices"), F.sum("o").alias("n_edges"), F.count_if(F.col("i") == 0).alias("sources"), F.count_if(F.col("o") == 0).alias("sinks"), F.avg("o").alias("mean_degree"), (F.sum("o") / F.when(n > 1, n * (n - 1))).alias("density"))
 
 
-def line_pagerank(line: DataFrame, iterations: int = 5) -> DataFrame:
-    """src, dst, score of each edge: `iterations` rounds without damping; edges without a successor keep their score."""
-    line = cut(line)
-    out = line.groupBy("a_src", "a_dst").agg(F.count("*").alias("out"))
-    ends = cut(line.select(F.col("a_src").alias("src"), F.col("a_dst").alias("dst")).union(line.select("b_src", "b_dst")).distinct())
-    n = ends.agg(F.count("*").alias("n"))
-    score = ends.join(F.broadcast(n)).select("src", "dst", (F.lit(1.0) / F.col("n")).alias("score"))
-    steps = cut(line.join(out, ["a_src", "a_dst"]))
+def line_pagerank(edges: DataFrame, components: DataFrame | None = None, iterations: int = 5) -> DataFrame:
+    """src, dst, score of each edge within a strong component: PageRank over the line digraph, `iterations` rounds without damping.
+
+    An edge hands its score, in equal shares, to the edges that leave its end. All of those get the same, so a round
+    sums scores by vertex and needs no row for each pair of edges.
+    """
+    parts = strong_components(edges) if components is None else components
+    tail, head = (parts.select(F.col("v").alias(c), F.col("component").alias(f"_{c}")) for c in ("src", "dst"))
+    inner = cut(edges.filter("src <> dst").select("src", "dst").join(tail, "src").join(head, "dst").filter("_src = _dst").select("src", "dst"))
+    out = inner.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("out"))
+    given = out.join(F.broadcast(inner.agg(F.count("*").alias("n")))).select("v", "out", (F.lit(1.0) / F.col("n")).alias("score"))  # of each edge that leaves v
     for _ in range(iterations):
-        sent = score.join(steps, (F.col("src") == F.col("a_src")) & (F.col("dst") == F.col("a_dst")), "left")
-        stays = F.col("out").isNull()
-        moved = sent.select(F.when(stays, F.col("src")).otherwise(F.col("b_src")).alias("src"), F.when(stays, F.col("dst")).otherwise(F.col("b_dst")).alias("dst"), F.when(stays, F.col("score")).otherwise(F.col("score") / F.col("out")).alias("score"))
-        score = ends.withColumn("score", F.lit(0.0)).unionByName(moved).groupBy("src", "dst").agg(F.sum("score").alias("score"))
-    return score
+        into = inner.join(given.select(F.col("v").alias("src"), "score"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum("score").alias("score"))
+        given = out.join(into, "v").select("v", "out", (F.col("score") / F.col("out")).alias("score"))
+    return inner.join(given.select(F.col("v").alias("src"), "score"), "src").select("src", "dst", "score")
 
 
 def first_cut(edges: DataFrame, scores: DataFrame, components: DataFrame) -> DataFrame:
@@ -214,8 +215,7 @@ def pagerank_fas(edges: DataFrame, iterations: int = 5) -> DataFrame:
     while has_cycle(rest):
         n += 1
         parts = cut(strong_components(rest))
-        line = line_digraph(rest, parts)
-        best = cut(first_cut(rest, line_pagerank(line, iterations), parts).select("src", "dst"))
+        best = cut(first_cut(rest, line_pagerank(rest, parts, iterations), parts).select("src", "dst"))
         gone = gone.unionByName(best.select("src", "dst", F.lit(n).alias("round")))
         rest = cut(rest.join(best, ["src", "dst"], "left_anti"))
     return gone

@@ -278,35 +278,72 @@ def greedy_fas(g: Graph) -> set[tuple]:
         gone.add((v, w))
 
 
-def exact_fas(g: Graph, limit: int = 14) -> set[tuple]:
-    """A lightest feedback arc set: the best order of each strong component of up to limit vertices, by subsets.
-
-    Larger components fall back on greedy_fas.
-    """
-    gone = {(v, v) for v in g if v in g[v]}
+def cycle_within(g: Graph, inside: list) -> list[tuple] | None:
+    """The edges of a shortest cycle among the vertices given, or None."""
+    kept, best = set(inside), None
+    own = {v: {w: x for w, x in g[v].items() if w in kept} for v in inside}
+    for v in inside:
+        for w in own[v]:
+            path = [v] if w == v else shortest_path(own, w, v)
+            if path and (best is None or len(path) < len(best)):
+                best = path
+                if len(best) <= 2:
+                    break
+    return None if best is None else list(zip(best, best[1:] + best[:1], strict=True))
+
+
+def _lightest_hitting(cycles: list[list[tuple]], weight: dict[tuple, float], steps: list[int]) -> set[tuple]:
+    """A lightest set of edges with one of each cycle, by branch and bound; takes from the steps left."""
+    best: list = [float("inf"), set()]
+
+    def bound(open_: list[list[tuple]], shut: frozenset) -> float:
+        total, used = 0.0, set()
+        for c in open_:  # cycles without a common edge each cost at least their lightest one
+            if used.isdisjoint(c):
+                used.update(c)
+                total += min((weight[e] for e in c if e not in shut), default=float("inf"))
+        return total
+
+    def branch(chosen: list[tuple], cost: float, open_: list[list[tuple]], shut: frozenset) -> None:
+        steps[0] -= 1
+        if steps[0] < 0:
+            raise ValueError("the strong component is too dense for an exact feedback arc set within the steps given")
+        if not open_:
+            if cost < best[0]:
+                best[:] = [cost, set(chosen)]
+            return
+        if cost + bound(open_, shut) >= best[0]:
+            return
+        free = min(([e for e in c if e not in shut] for c in open_), key=len)
+        for e in sorted(free, key=lambda e: (weight[e], e)):
+            branch([*chosen, e], cost + weight[e], [c for c in open_ if e not in c], shut)
+            shut = shut | {e}
+
+    branch([], 0.0, sorted(cycles, key=len), frozenset())
+    return best[1]
+
+
+def exact_fas(g: Graph, most_steps: int = 2_000_000) -> set[tuple]:
+    """A lightest feedback arc set. In each strong component, the lightest set that hits all cycles found so far is
+    taken out, and cycles that are left are added, until none is. Raises ValueError when the search takes more than most_steps steps."""
+    gone, steps = {(v, v) for v in g if v in g[v]}, [most_steps]
     for part in components(g):
         if len(part) < 2:
             continue
         part = sorted(part)
-        if len(part) > limit:
-            gone |= greedy_fas({v: {w: x for w, x in g[v].items() if w in set(part) and w != v} for v in part})
-            continue
-        n = len(part)
-        weight = [[g[v].get(w, 0) if v != w else 0 for w in part] for v in part]
-        best, choice = [float("inf")] * (1 << n), [0] * (1 << n)
-        best[0] = 0
-        for s in range(1 << n):
-            for v in range(n):
-                if not s >> v & 1:  # v comes after the set: its edges into the set run backwards
-                    cost = best[s] + sum(weight[v][w] for w in range(n) if s >> w & 1)
-                    if cost < best[s | 1 << v]:
-                        best[s | 1 << v], choice[s | 1 << v] = cost, v
-        s, order = (1 << n) - 1, []
-        while s:
-            order.append(choice[s])
-            s &= ~(1 << choice[s])
-        place = {part[v]: i for i, v in enumerate(order[::-1])}
-        gone |= {(v, w) for v in part for w in g[v] if w in place and place[v] > place[w]}
+        own = {v: {w: x for w, x in g[v].items() if w in set(part) and w != v} for v in part}
+        weight = {(v, w): x for v, out in own.items() for w, x in out.items()}
+        cycles: list[list[tuple]] = []
+        chosen: set[tuple] = set()
+        while True:
+            rest, fresh = drop_edges(own, chosen), 0
+            while found := cycle_within(rest, part):
+                cycles.append(found)
+                rest, fresh = drop_edges(rest, set(found)), fresh + 1
+            if not fresh:
+                break
+            chosen = _lightest_hitting(cycles, weight, steps)
+        gone |= chosen
     return gone
 
 
@@ -531,8 +568,7 @@ def kernelised_dfvs(g: Graph, k: int, modulator_set: set, eta: int) -> set | Non
     """Feedback vertices of up to k, by zones: None where no such set is found.
 
     A small set hits the remainder; the rest falls into zones, each represented by the vertices of its strong
-    components with the highest degree. Paths between modulator vertices through the rest of a zone become bypass
-    edges. What is chosen among modulator, hitting set and representatives is made valid and minimal.
+    components with the highest degree, as many as the kernel bound allows. What is chosen among modulator, hitting set and representatives is made valid and minimal.
     """
     outside = without(g, modulator_set)
     hit = feedback_vertices(outside, "greedy")
@@ -550,7 +586,7 @@ def kernelised_dfvs(g: Graph, k: int, modulator_set: set, eta: int) -> set | Non
             seen |= zone
             zones.append(zone)
     all_near = both_ways(g)
-    room = max(1, (k * max(1, len(modulator_set))) ** min(eta * eta, 4))
+    room = max(1, (k * max(1, len(modulator_set))) ** (eta * eta))
     representatives = {v for zone in zones for v in sorted(zone, key=lambda v: (-len(all_near[v]), v))[:room]}
     pool = sorted(modulator_set | hit | representatives, key=lambda v: (-len(all_near[v]), v))
     chosen = set(modulator_set | hit)

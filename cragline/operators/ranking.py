@@ -1,7 +1,7 @@
 """Ranks, priorities and normalised scores.
 
-Dense ranks are taken over the distinct values, which a partial aggregation has reduced, and joined back, so no
-window holds all rows of a type. Ordinal ranks need a total order, and only see narrow rows.
+Rows are dealt by ranges of the order and numbered within a range; the sizes of the ranges, one row each, give what
+comes before. So no task holds all rows, or all rows of a type. Dense ranks are the numbers of the distinct values.
 """
 
 from __future__ import annotations
@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragline.sources.scratch import cut
+
 
 def dense_ranks(rows: DataFrame, by: list[str], value: str, descending: Column | None = None, name: str = "rank") -> DataFrame:
     """rows with the dense rank of value within `by`, ascending, or descending where the given column says so."""
     key = F.col(value) if descending is None else F.when(descending, -F.col(value)).otherwise(F.col(value))
     rows = rows.withColumn("_key", key)
-    order = Window.partitionBy(*by).orderBy("_key") if by else Window.orderBy("_key")
-    ranks = rows.select(*by, "_key").distinct().withColumn(name, F.dense_rank().over(order).cast("long"))
+    ranks = ordinal(rows.select(*by, "_key").distinct(), name, *by, "_key")
+    if by:
+        first = ranks.groupBy(*by).agg(F.min(name).alias("_first"))
+        ranks = ranks.join(first, by).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
     return rows.join(ranks, [*by, "_key"]).drop("_key")
 
 
@@ -39,9 +43,23 @@ def god_class_ranks(rows: DataFrame, legacy_tcc: bool = False) -> DataFrame:
     return dense_ranks(rows.withColumn("sum_of_ranks", F.col("wmc_rank") + F.col("atfd_rank") + F.col("tcc_rank")), [], "sum_of_ranks", name="overall_rank")
 
 
-def ordinal(rows: DataFrame, name: str, *order: Column | str, by: tuple[str, ...] = ()) -> DataFrame:
+def ordinal(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """rows with 1..n in the order given, which has to be total."""
-    return rows.withColumn(name, F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)).cast("long"))
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
+def ordinal_within(rows: DataFrame, name: str, by: list[str], *order: Column | str) -> DataFrame:
+    """rows with 1..n in the order given within each `by`."""
+    if not by:
+        return ordinal(rows, name, *order)
+    rows = ordinal(rows, name, *by, *order)
+    first = rows.groupBy(*by).agg(F.min(name).alias("_first"))
+    return rows.join(first, by).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
 
 
 def min_max(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -51,6 +69,6 @@ def min_max(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.join(F.broadcast(ends)).withColumn(name, F.when(span == 0, 0.0).otherwise((F.col(value) - F.col("_low")) / F.when(span != 0, span))).drop("_low", "_high")
 
 
-def priorities(rows: DataFrame, change_rank: str, effort_rank: str, *ties: str) -> DataFrame:
-    """rows with raw_priority (change rank less effort rank) and priority, 1 for the highest raw priority."""
-    return ordinal(rows.withColumn("raw_priority", F.col(change_rank) - F.col(effort_rank)), "priority", F.desc("raw_priority"), *ties)
+def priorities(rows: DataFrame, change_rank: str, effort_rank: str, *ties: str, by: list[str] | None = None) -> DataFrame:
+    """rows with raw_priority (change rank less effort rank) and priority, 1 for the highest raw priority of each `by`."""
+    return ordinal_within(rows.withColumn("raw_priority", F.col(change_rank) - F.col(effort_rank)), "priority", by or [], F.desc("raw_priority"), *ties)

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cragline.functions.names import stamp
+
 #: type, title, level of the detectors, in report order.
 SPECS = [
     ("god_class", "God Classes", "class"), ("data_class", "Data Classes", "class"), ("brain_method", "Brain Methods", "method"), ("brain_class", "Brain Classes", "class"),
@@ -32,6 +34,42 @@ def csv_rows(ranked: DataFrame) -> DataFrame:
     return ranked.select("priority", F.concat_ws(",", "class_fqn", "priority", "raw_priority", "change_proneness_rank", "effort_rank", "path").alias("row"))
 
 
+#: Headings of the class report, short and long.
+CSV_HEADS = ("Ver", "Class", "Priority", "Change Proneness Rank", "Effort Rank", "Method Count", "Most Recent Commit Date", "Commit Count")
+CSV_DETAIL_HEADS = (*CSV_HEADS[:5], "WMC", "WMC Rank", "ATFD", "ATFD Rank", "TCC", "TCC Rank", "Date of First Commit", *CSV_HEADS[6:], "Full Path")
+
+
+def csv_report(ranked: DataFrame, version: str, detailed: bool = False) -> DataFrame:
+    """pos, line: a heading at 0, then the classes by priority; each field ends with a comma, each row with eol.
+
+    ranked: class_fqn, priority, change_proneness_rank, effort_rank, wmc, wmc_rank, atfd, atfd_rank, tcc, tcc_rank,
+    earliest_commit, most_recent_commit (epoch seconds), commit_count, path. TCC has two decimals.
+    """
+    day = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss")
+    cents = F.floor(F.col("tcc") * 100 + 0.5)
+    tcc = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    start = ["class_fqn", "priority", "change_proneness_rank", "effort_rank", "wmc"]
+    if detailed:
+        fields = [*start, "wmc_rank", "atfd", "atfd_rank", tcc, "tcc_rank", day("earliest_commit"), day("most_recent_commit"), "commit_count", "path"]
+    else:
+        fields = [*start, day("most_recent_commit"), "commit_count"]
+    cells = [F.lit(version), *[F.col(x).cast("string") if isinstance(x, str) else x for x in fields]]
+    heads = "".join(f"{h}," for h in (CSV_DETAIL_HEADS if detailed else CSV_HEADS))
+    rows = ranked.select(F.col("priority").alias("pos"), F.concat(*[y for c in cells for y in (F.coalesce(c, F.lit("")), F.lit(","))], F.lit("eol")).alias("line"))
+    return ranked.sparkSession.createDataFrame([(0, heads)], "pos long, line string").unionByName(rows)
+
+
+def csv_name(project: str, version: str, at: Column) -> Column:
+    """The file name of a report written at the time given."""
+    return F.concat(F.lit(f"RefFirst_P{project}_PV{version}_PD"), stamp(at), F.lit(".csv"))
+
+
+def dot_vertices(edges: DataFrame, removed_vertices: DataFrame) -> DataFrame:
+    """v, line: a vertex of the graph text, red where it is to be removed."""
+    rows = shown_vertices(edges).join(removed_vertices.select("v", F.lit(True).alias("red")), "v", "left")
+    return rows.select("v", F.concat(F.col("v").cast("string"), F.when(F.col("red"), F.lit(' [color="red"]')).otherwise(""), F.lit(";")).alias("line"))
+
+
 def json_report(ranked: DataFrame) -> DataFrame:
     """One row: the JSON document with all entries by priority. The report's "priority" is the raw priority."""
     entry = F.struct("priority", F.struct(F.col("class_fqn").alias("className"), F.col("path").alias("fullFilePath"), F.col("effort_rank").alias("effortRank"), F.col("change_proneness_rank").alias("changePronenessRank"), F.col("raw_priority").alias("priority")).alias("entry"))
@@ -70,9 +108,9 @@ def shown_vertices(edges: DataFrame) -> DataFrame:
     return degrees(edges).filter(~(F.col("v").rlike(r"\$[0-9]+$") & (F.col("out_degree") == 0))).select("v")
 
 
-def html_table(rows: DataFrame, title: str, limit: int = 10_000) -> str:
-    """A table of the first `limit` rows, escaped; an empty string without rows."""
-    got = rows.limit(limit).collect()
+def html_table(rows: DataFrame, title: str) -> str:
+    """A table of the rows, escaped; an empty string without rows. Rows come to the driver a partition at a time."""
+    got = list(rows.toLocalIterator())
     if not got:
         return ""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)

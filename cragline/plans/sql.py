@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from cragline.operators.detectors import CLASS_RULES, KEYS, METHOD_RULES, RULES
 from cragline.operators.scores import removal_sql
 
 ACC = """acc AS (
     SELECT c_custkey AS class_key, n.n_name || '.C' || c_custkey AS class_fqn, n.n_name AS package, CASE WHEN c_custkey // 10 <> c_custkey THEN c_custkey // 10 END AS parent_key,
         o_orderkey AS method, l_partkey AS variable, l_suppkey AS provider, sn.n_regionkey AS region, s_nationkey <> c_nationkey AS is_foreign, l_quantity AS loc, l_linenumber AS depth,
-        l_returnflag = 'R' AS is_call, o_orderpriority = '1-URGENT' AS is_protected, o_orderstatus = 'O' AS is_override
+        l_returnflag = 'R' AS is_call, o_orderpriority = '1-URGENT' AS is_protected, o_orderstatus = 'O' AS is_override, l_partkey % 4 = 0 AS public_attribute, l_partkey % 4 = 1 AS protected_attribute
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n.n_nationkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey)"""
 MM = """mm0 AS (
@@ -18,21 +17,22 @@ MM = """mm0 AS (
         count(*) <= 4 AS is_accessor, bool_or(is_protected) AS is_protected, bool_or(is_override) AS is_override
     FROM acc GROUP BY ALL),
 mm AS (SELECT *, CASE WHEN own + atfd = 0 THEN 1.0 ELSE own::DOUBLE / (own + atfd)::DOUBLE END AS laa, atfd AS cint,
-    CASE WHEN atfd = 0 THEN 0.0 ELSE fdp::DOUBLE / atfd::DOUBLE END AS cdisp, CASE WHEN atfd = 0 THEN 0.0 ELSE regions::DOUBLE / atfd::DOUBLE END AS cdisp_region FROM mm0)"""
+    CASE WHEN atfd = 0 THEN 0.0 ELSE regions::DOUBLE / atfd::DOUBLE END AS cdisp FROM mm0)"""
 TCC = """used AS (SELECT DISTINCT class_key, class_fqn, method, variable FROM acc),
 linked AS (SELECT class_key, count(*) AS pairs FROM (SELECT DISTINCT a.class_key, a.method, b.method AS other FROM used a JOIN used b ON a.class_key = b.class_key AND a.variable = b.variable AND a.method < b.method) GROUP BY 1),
 sizes AS (SELECT class_key, class_fqn, count(DISTINCT method) AS n FROM used GROUP BY ALL),
 tcc AS (SELECT class_key, class_fqn, coalesce(pairs, 0) AS pairs, CASE WHEN n <= 1 THEN 0.0 ELSE coalesce(pairs, 0)::DOUBLE / (n * (n - 1) / 2)::DOUBLE END AS tcc FROM sizes LEFT JOIN linked USING (class_key))"""
-CM = f"""own AS (SELECT DISTINCT class_key, parent_key, variable FROM acc),
+CM = """own AS (SELECT DISTINCT class_key, parent_key, variable FROM acc),
 up AS (SELECT a.class_key, count(*) AS used_parent FROM own a JOIN own b ON a.parent_key = b.class_key AND a.variable = b.variable GROUP BY 1),
-fc AS (SELECT class_key, count(DISTINCT CASE WHEN is_foreign THEN provider END) AS atfd, max(package) AS package, max(parent_key) AS parent_key FROM acc GROUP BY 1),
+fc AS (SELECT class_key, count(DISTINCT CASE WHEN is_foreign THEN provider END) AS atfd, count(DISTINCT CASE WHEN NOT is_foreign THEN variable END) AS noa,
+    count(DISTINCT CASE WHEN NOT is_foreign AND public_attribute THEN variable END) AS nopa, count(DISTINCT CASE WHEN NOT is_foreign AND protected_attribute THEN variable END) AS hidden, max(package) AS package, max(parent_key) AS parent_key FROM acc GROUP BY 1),
 cm0 AS (SELECT class_key, class_fqn, CAST(sum(cyclo) AS BIGINT) AS wmc, count(*) AS nom, CAST(sum(loc) AS BIGINT) AS loc, count(*) FILTER (is_accessor) AS accessors, count(*) FILTER (is_protected) AS protected,
-    count(*) FILTER (is_override) AS overridden, count(*) FILTER ({METHOD_RULES['brain_method'].predicate}) AS brains FROM mm GROUP BY ALL),
-cm AS (SELECT class_key, cm0.class_fqn, package, parent_key, wmc, nom, loc, atfd, accessors, (nom - accessors)::DOUBLE / nom::DOUBLE AS woc, wmc::DOUBLE / nom::DOUBLE AS amw, tcc, protected, overridden,
+    count(*) FILTER (is_override) AS overridden, count(*) FILTER (loc > 65 AND cyclo >= 4 AND nesting >= 5 AND noav > 7) AS brains FROM mm GROUP BY ALL),
+cm AS (SELECT class_key, cm0.class_fqn, package, parent_key, wmc, nom, loc, atfd, accessors, noa, nopa, nopa + accessors AS open_members, (nom - accessors)::DOUBLE / nom::DOUBLE AS woc, wmc::DOUBLE / nom::DOUBLE AS amw, tcc, protected + hidden AS protected, overridden,
     coalesce(used_parent, 0) AS used_parent, brains FROM cm0 JOIN fc USING (class_key) JOIN tcc USING (class_key) LEFT JOIN up USING (class_key)),
 wp0 AS (SELECT c.*, p.nom AS parent_nom, p.wmc AS parent_wmc, p.amw AS parent_amw, coalesce(p.protected, 0) AS n_prot FROM cm c LEFT JOIN cm p ON c.parent_key = p.class_key),
 wp AS (SELECT *, CASE WHEN n_prot = 0 THEN 0.0 ELSE used_parent::DOUBLE / n_prot::DOUBLE END AS bur, overridden::DOUBLE / nom::DOUBLE AS bovr, nom - overridden AS nas, (nom - overridden)::DOUBLE / nom::DOUBLE AS pnas FROM wp0)"""
-CALLERS = "callers AS (SELECT variable AS callee, count(DISTINCT {'c': class_key, 'm': method}) AS cm, count(DISTINCT class_key) AS cc FROM acc WHERE is_call GROUP BY 1)"
+CALLERS = "callers AS (SELECT variable AS callee, count(DISTINCT {'c': class_key, 'm': method}) AS cm, count(DISTINCT class_key) AS cc FROM acc WHERE is_call AND is_foreign GROUP BY 1)"
 FACTS = f"WITH RECURSIVE {ACC}, {MM}, {TCC}, {CM}, {CALLERS}"
 CBO = "cbo AS (SELECT class_key, class_fqn, count(DISTINCT provider) AS cbo FROM acc GROUP BY ALL)"
 
@@ -84,7 +84,8 @@ CYCLES = """walk AS (SELECT src AS root, dst AS at, [src, dst] AS path FROM e WH
     UNION ALL SELECT root, e.dst, list_append(path, e.dst) FROM walk JOIN e ON walk.at = e.src WHERE e.dst > root AND NOT list_contains(path, e.dst)),
 cycles AS (SELECT path, len(path) AS length FROM walk JOIN e ON e.src = walk.at AND e.dst = walk.root)"""
 
-LINES = """ln0 AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x <> '{' AND x <> '}' AND NOT starts_with(x, '//') AND NOT starts_with(x, '*')) AS ls FROM documents WHERE text IS NOT NULL),
+LINES = """ln0 AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x <> '{' AND x <> '}' AND NOT starts_with(x, '//') AND NOT starts_with(x, '*')) AS ls FROM documents WHERE text IS NOT NULL AND doc_id % 17 <> 0
+    AND NOT (regexp_matches(split_part(ltrim(text, ' '), ' ', 1), '^(?i)(get|is|set)') AND len(string_split(trim(text, ' '), chr(10))) <= 1)),
 ln AS (SELECT source AS class_fqn, doc_id AS method, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM ln0 WHERE len(ls) >= 5),
 hits AS (SELECT a.method AS a, b.method AS b, a.pos AS x, b.pos AS y FROM ln a JOIN ln b ON a.line = b.line AND a.method < b.method),
 runs AS (SELECT a, b, min(x) AS start_a, min(y) AS start_b, count(*) AS size FROM (SELECT *, x - row_number() OVER (PARTITION BY a, b, x - y ORDER BY x) AS island FROM hits) GROUP BY a, b, x - y, island),
@@ -92,7 +93,7 @@ gaps AS (SELECT *, start_a - lag(start_a + size) OVER w AS gap_a, start_b - lag(
 joined AS (SELECT *, coalesce(gap_a >= 0 AND gap_b >= 0 AND least(gap_a, gap_b) <= 5, false) AS j FROM gaps),
 marked AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY a, b ORDER BY start_a, start_b) AS chain, CASE WHEN j THEN least(gap_a, gap_b) ELSE 0 END AS gap FROM joined),
 chains AS (SELECT a, b, CAST(chain AS BIGINT) AS chain, count(*) AS clones, CAST(sum(size) + sum(gap) AS BIGINT) AS sdc, min(size) AS least_size, max(size) AS most_size, max(gap) AS most_gap FROM marked GROUP BY a, b, chain HAVING count(*) > 1),
-avgs AS (SELECT avg(n) AS average FROM (SELECT count(*) AS n FROM ln GROUP BY method)),
+avgs AS (SELECT avg(len(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)))) AS average FROM documents WHERE doc_id IN (SELECT method FROM ln)),
 sig AS (SELECT a, b, max(sec) AS sec, max(sdc) AS sdc FROM (SELECT a, b, size AS sec, 0 AS sdc FROM runs, avgs WHERE size > average
     UNION ALL SELECT a, b, most_size, sdc FROM chains WHERE sdc >= 13 AND least_size > 5 AND most_gap <= 5) GROUP BY ALL),
 owner AS (SELECT DISTINCT method, class_fqn FROM ln),
@@ -100,10 +101,10 @@ pairs AS (SELECT a, b, sec, sdc, x.class_fqn AS ca, y.class_fqn AS cb FROM sig J
 flagged AS (SELECT ca AS class_fqn, sec, sdc, a || ' ↔ ' || regexp_extract(cb, '[^.]*$') || '.' || b AS partner FROM pairs
     UNION ALL SELECT cb, sec, sdc, b || ' ↔ ' || regexp_extract(ca, '[^.]*$') || '.' || a FROM pairs WHERE ca <> cb)"""
 
-GOD_LONG = """god AS (SELECT class_fqn, class_key, atfd, wmc, tcc FROM wp WHERE {god}),
+GOD_LONG = """god AS (SELECT class_fqn, class_key, atfd, wmc, tcc FROM wp WHERE atfd > 5 AND wmc >= 47 AND tcc < 0.33),
 long AS (SELECT class_fqn, 0 AS idx, 'ATFD' AS name, atfd::DOUBLE AS value, 'asc' AS direction FROM god UNION ALL SELECT class_fqn, 1, 'WMC', wmc::DOUBLE, 'asc' FROM god UNION ALL SELECT class_fqn, 2, 'TCC', tcc, 'desc' FROM god),
 ranked AS (SELECT *, dense_rank() OVER (PARTITION BY idx ORDER BY CASE WHEN direction = 'desc' THEN -value ELSE value END) AS rank FROM long),
-overall AS (SELECT class_fqn, CAST(sum_of_ranks AS BIGINT) AS sum_of_ranks, dense_rank() OVER (ORDER BY sum_of_ranks) AS overall_rank FROM (SELECT class_fqn, sum(rank) AS sum_of_ranks FROM ranked GROUP BY 1))""".format(god=CLASS_RULES["god_class"].predicate)
+overall AS (SELECT class_fqn, CAST(sum_of_ranks AS BIGINT) AS sum_of_ranks, dense_rank() OVER (ORDER BY sum_of_ranks) AS overall_rank FROM (SELECT class_fqn, sum(rank) AS sum_of_ranks FROM ranked GROUP BY 1))"""
 
 PRIORITY = """paths AS (SELECT class_fqn, class_key % (SELECT max(user_id) + 1 FROM events) AS path, effort_rank FROM {instances}),
 ranks AS (SELECT path, row_number() OVER (ORDER BY change_proneness, path, class_fqn) AS r FROM paths JOIN prone USING (path)),
@@ -112,8 +113,8 @@ pri AS (SELECT class_fqn, path, effort_rank, change_proneness_rank, change_prone
 GOD_PRIORITY = f"{FACTS}, {GOD_LONG}, {COMMITS}, inst AS (SELECT class_fqn, class_key, overall_rank AS effort_rank FROM overall JOIN god USING (class_fqn)), {PRIORITY.format(instances='inst')}"
 
 ORACLE: dict[str, str] = {
-    "method_metrics": f"{FACTS} SELECT class_fqn, method, cyclo, loc, nesting, noav, atfd, own, fdp, laa, cint, cdisp, cdisp_region FROM mm",
-    "class_metrics": f"{FACTS} SELECT class_fqn, package, parent_key, wmc, nom, loc, atfd, accessors, woc, amw, tcc, protected, overridden, used_parent, brains FROM cm",
+    "method_metrics": f"{FACTS} SELECT class_fqn, method, cyclo, loc, nesting, noav, atfd, own, fdp, laa, cint, cdisp FROM mm",
+    "class_metrics": f"{FACTS} SELECT class_fqn, package, parent_key, wmc, nom, loc, atfd, accessors, noa, nopa, woc, amw, tcc, protected, overridden, used_parent, brains FROM cm",
     "tcc": f"{FACTS} SELECT class_fqn, pairs, tcc FROM tcc",
     "laa": f"{FACTS} SELECT class_fqn, method, laa FROM mm",
     "cint_cdisp": f"{FACTS} SELECT class_fqn, method, cint, cdisp FROM mm",
@@ -173,6 +174,73 @@ ORACLE: dict[str, str] = {
     "clone_chains": f"WITH {LINES} SELECT * FROM chains",
     "significant_duplication": f"WITH {LINES} SELECT class_fqn, max(sec) AS sec, max(sdc) AS sdc, count(DISTINCT partner) AS n_partners FROM flagged GROUP BY 1",
 }
-for _name, _rule in RULES.items():
-    _from = {"class": "wp", "method": "mm", "callee": "callers"}[_rule.level]
-    ORACLE[_name] = f"{FACTS} SELECT {', '.join([*KEYS[_rule.level], *[c for _, c, _ in _rule.metrics]])} FROM {_from} WHERE {_rule.predicate}"
+
+#: The thresholds as the detection strategies state them: type, relation, key, predicate, metrics with direction.
+DETECTORS = [
+    ("brain_method", "mm", "class_fqn, method", "loc > 65 AND cyclo >= 4 AND nesting >= 5 AND noav > 7", "LOC loc asc, CYCLO cyclo asc, MAXNESTING nesting asc, NOAV noav asc"),
+    ("feature_envy", "mm", "class_fqn, method", "atfd > 5 AND laa < 0.33 AND fdp <= 5", "ATFD atfd asc, LAA laa desc, FDP fdp desc"),
+    ("intensive_coupling", "mm", "class_fqn, method", "nesting > 1 AND (cint > 7 AND cdisp < 0.5 OR cint > 5 AND cdisp < 0.25)", "CINT cint asc, CDISP cdisp desc, MAXNESTING nesting asc"),
+    ("dispersed_coupling", "mm", "class_fqn, method", "nesting > 1 AND cint > 7 AND cdisp >= 0.5", "CINT cint asc, CDISP cdisp asc, MAXNESTING nesting asc"),
+    ("shotgun_surgery", "callers", "callee", "cm > 7 AND cc > 7", "CM cm asc, CC cc asc"),
+    ("god_class", "wp", "class_fqn", "atfd > 5 AND wmc >= 47 AND tcc < 0.33", "ATFD atfd asc, WMC wmc asc, TCC tcc desc"),
+    ("data_class", "wp", "class_fqn", "woc < 0.33 AND (nopa + accessors > 5 AND wmc < 31 OR nopa + accessors > 7 AND wmc < 47)", "WOC woc desc, PublicAttrsAndAccessors open_members asc, WMC wmc desc"),
+    ("brain_class", "wp", "class_fqn", "NOT (atfd > 5 AND wmc >= 47 AND tcc < 0.33) AND wmc >= 47 AND tcc < 0.5 AND (brains > 1 AND loc >= 195 OR brains = 1 AND loc >= 390 AND wmc >= 94)", "BrainMethods brains asc, LOC loc asc, WMC wmc asc, TCC tcc desc"),
+    ("refused_bequest", "wp", "class_fqn", "parent_key IS NOT NULL AND nom > 7 AND (amw > 2 OR wmc > 14) AND (bovr < 0.33 OR n_prot > 5 AND bur < 0.33)", "NProtM n_prot asc, BUR bur desc, BOvR bovr desc, NOM nom asc, AMW amw asc, WMC wmc asc"),
+    ("tradition_breaker", "wp", "class_fqn", "parent_amw > 2 AND parent_nom > 6 AND parent_wmc >= 23 AND nom >= 12 AND (amw > 2 OR wmc >= 47) AND nas >= 7 AND pnas >= 0.67", "NAS nas asc, PNAS pnas asc, NOM nom asc, AMW amw asc, WMC wmc asc, Overridden overridden asc"),
+]
+_LONG = []
+for _name, _from, _key, _test, _metrics in DETECTORS:
+    _cells = [m.split() for m in _metrics.split(", ")]
+    ORACLE[_name] = f"{FACTS} SELECT {_key}, {', '.join(c for _, c, _ in _cells)} FROM {_from} WHERE {_test}"
+    for _i, (_n, _c, _d) in enumerate(_cells):
+        _LONG.append(f"SELECT '{_name}' AS type, concat_ws('::', {_key}) AS instance, {_i} AS idx, '{_n}' AS name, {_c}::DOUBLE AS value, '{_d}' AS direction FROM {_from} WHERE {_test}")
+ALL = f"everything AS ({' UNION ALL '.join(_LONG)})"
+ORACLE["disharmonies"] = f"{FACTS}, {ALL} SELECT * FROM everything"
+ORACLE["ranked_disharmonies"] = f"""{FACTS}, {ALL}, {COMMITS},
+    mranks AS (SELECT *, dense_rank() OVER (PARTITION BY type, idx ORDER BY CASE WHEN direction = 'desc' THEN -value ELSE value END) AS rank FROM everything),
+    efforts AS (SELECT type, instance, dense_rank() OVER (PARTITION BY type ORDER BY s) AS effort_rank FROM (SELECT type, instance, sum(rank) AS s FROM mranks GROUP BY ALL)),
+    paths AS (SELECT type, instance AS class_fqn, CAST(regexp_extract(split_part(instance, '::', 1), '[0-9]+$') AS BIGINT) % (SELECT max(user_id) + 1 FROM events) AS path, effort_rank FROM efforts),
+    numbered AS (SELECT type, path, row_number() OVER (PARTITION BY type ORDER BY change_proneness, path, class_fqn) AS r FROM paths JOIN prone USING (path)),
+    top AS (SELECT type, path, max(r) AS change_proneness_rank FROM numbered GROUP BY ALL)
+    SELECT type, class_fqn, path, effort_rank, change_proneness_rank, change_proneness_rank - effort_rank AS raw_priority,
+        row_number() OVER (PARTITION BY type ORDER BY change_proneness_rank - effort_rank DESC, class_fqn) AS priority FROM paths JOIN top USING (type, path)"""
+GOD_RANKS = """granks0 AS (SELECT class_fqn, atfd, wmc, tcc, dense_rank() OVER (ORDER BY wmc) AS wmc_rank, dense_rank() OVER (ORDER BY atfd) AS atfd_rank, dense_rank() OVER (ORDER BY tcc DESC) AS tcc_rank FROM god),
+    granks1 AS (SELECT *, wmc_rank + atfd_rank + tcc_rank AS sum_of_ranks FROM granks0), granks AS (SELECT *, dense_rank() OVER (ORDER BY sum_of_ranks) AS overall_rank FROM granks1)"""
+ORACLE["god_class_ranks"] = f"{FACTS}, {GOD_LONG}, {GOD_RANKS} SELECT * FROM granks"
+ORACLE["long_methods"] = f"{FACTS} SELECT class_fqn, method, loc, cyclo FROM mm WHERE loc > 65"
+ORACLE["complex_methods"] = f"{FACTS} SELECT class_fqn, method, loc, cyclo FROM mm WHERE cyclo >= 4"
+_DAY = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%S')"
+_CSV = f"{GOD_PRIORITY}, {GOD_RANKS}, cells AS (SELECT *, CAST(floor(tcc * 100 + 0.5) AS BIGINT) AS cents FROM pri JOIN granks USING (class_fqn) JOIN scm USING (path))"
+ORACLE["csv_report"] = f"""{_CSV} SELECT CAST(0 AS BIGINT) AS pos, 'Ver,Class,Priority,Change Proneness Rank,Effort Rank,Method Count,Most Recent Commit Date,Commit Count,' AS line
+    UNION ALL SELECT priority, '1.0,' || class_fqn || ',' || priority || ',' || change_proneness_rank || ',' || effort_rank || ',' || wmc || ',' || {_DAY.format('most_recent_commit')} || ',' || commit_count || ',eol' FROM cells"""
+ORACLE["csv_report_detailed"] = f"""{_CSV} SELECT CAST(0 AS BIGINT) AS pos, 'Ver,Class,Priority,Change Proneness Rank,Effort Rank,WMC,WMC Rank,ATFD,ATFD Rank,TCC,TCC Rank,Date of First Commit,Most Recent Commit Date,Commit Count,Full Path,' AS line
+    UNION ALL SELECT priority, '1.0,' || class_fqn || ',' || priority || ',' || change_proneness_rank || ',' || effort_rank || ',' || wmc || ',' || wmc_rank || ',' || atfd || ',' || atfd_rank || ',' || (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || ',' || tcc_rank || ','
+        || {_DAY.format('earliest_commit')} || ',' || {_DAY.format('most_recent_commit')} || ',' || commit_count || ',' || path || ',eol' FROM cells"""
+ORACLE["json_report"] = f"""{GOD_PRIORITY} SELECT '{{"rankedDisharmonies":[' || string_agg('{{"className":"' || class_fqn || '","fullFilePath":' || path || ',"effortRank":' || effort_rank || ',"changePronenessRank":' || change_proneness_rank || ',"priority":' || raw_priority || '}}', ',' ORDER BY priority) || '],"errors":[]}}' AS json FROM pri"""
+ORACLE["class_names"] = "SELECT n_name || '.C' || c_custkey AS class_fqn, n_name AS package, 'C' || c_custkey AS simple, n_name || '.C' || c_custkey AS outer_class FROM customer JOIN nation ON c_nationkey = n_nationkey"
+ORACLE["line_counts"] = r"""SELECT doc_id AS method, CAST(CASE WHEN body = '' THEN 0 ELSE len(string_split(body, chr(10))) END AS BIGINT) AS loc,
+    CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x <> '{' AND x <> '}' AND NOT starts_with(x, '//') AND NOT starts_with(x, '*'))) AS BIGINT) AS normalised
+    FROM (SELECT doc_id, text, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS body FROM documents)"""
+ORACLE["arc_set_checks"] = "SELECT * FROM (VALUES ('surplus', true, true), ('greedy', true, true), ('matrix', true, true)) AS t(name, small, acyclic)"
+ORACLE["vertex_set_checks"] = f"{RINGS}, {CYCLES} SELECT name, true AS valid, (SELECT count(*) FROM cycles) AS ring_vertices FROM (VALUES ('greedy'), ('scc'), ('score'), ('local')) AS t(name)"
+ORACLE["order_checks"] = f"{GRAPH} SELECT count(*) AS n_vertices, count(*) AS n_places, count(*) - 1 AS last, true AS acyclic FROM vs"
+# On separate rings all edges of a ring score alike, so one edge of each goes: the lightest, by name where there are several.
+_LIGHTEST = f"{RINGS}, {CYCLES}, st AS (SELECT path, unnest(path) AS src, unnest(list_append(path[2:], path[1])) AS dst FROM cycles), lightest AS (SELECT src, dst, weight, row_number() OVER (PARTITION BY path ORDER BY weight, src, dst) AS n FROM st JOIN e USING (src, dst))"
+ORACLE["min_fas_exact"] = f"{_LIGHTEST} SELECT src, dst, weight FROM lightest WHERE n = 1"
+ORACLE["pagerank_fas"] = f"{_LIGHTEST} SELECT src, dst, 1 AS round FROM lightest WHERE n = 1"
+ORACLE["fvs_k"] = f"{RINGS}, {CYCLES} SELECT count(*) AS k FROM cycles"
+ORACLE["line_statistics"] = f"""{GRAPH}, {LINE}, o AS (SELECT a_src AS src, a_dst AS dst, count(*) AS o FROM line GROUP BY ALL), i AS (SELECT b_src AS src, b_dst AS dst, count(*) AS i FROM line GROUP BY ALL),
+    lv AS (SELECT src, dst, coalesce(o, 0) AS o, coalesce(i, 0) AS i FROM lends LEFT JOIN o USING (src, dst) LEFT JOIN i USING (src, dst))
+    SELECT count(*) AS n_vertices, CAST(sum(o) AS BIGINT) AS n_edges, count(*) FILTER (i = 0) AS sources, count(*) FILTER (o = 0) AS sinks, sum(o)::DOUBLE / count(*) AS mean_degree, sum(o)::DOUBLE / (count(*) * (count(*) - 1)) AS density FROM lv"""
+BETWEEN = """nb AS (SELECT u AS a, v AS b FROM und UNION SELECT v, u FROM und),
+    far AS (SELECT a AS s, a AS v, 0 AS d FROM nb UNION SELECT far.s, nb.b, d + 1 FROM far JOIN nb ON far.v = nb.a WHERE d < 24),
+    dist AS (SELECT s, v, min(d) AS d FROM far GROUP BY ALL),
+    steps AS (SELECT s, v, d FROM dist WHERE d = 0 UNION ALL SELECT steps.s, nb.b, steps.d + 1 FROM steps JOIN nb ON steps.v = nb.a JOIN dist t ON t.s = steps.s AND t.v = nb.b AND t.d = steps.d + 1),
+    ways AS (SELECT s, v, d, count(*) AS n FROM steps GROUP BY ALL),
+    between_ AS (SELECT m.v, sum(m.n::DOUBLE * r.n / whole.n) AS x FROM ways m JOIN ways r ON r.s = m.v JOIN ways whole ON whole.s = m.s AND whole.v = r.v AND whole.d = m.d + r.d WHERE m.d > 0 AND r.d > 0 GROUP BY 1)"""
+ORACLE["betweenness"] = f"{GRAPH}, {UND}, {BETWEEN} SELECT vs.v, round(coalesce(x, 0), 6) AS betweenness FROM vs LEFT JOIN between_ USING (v)"
+ORACLE["structural_importance"] = f"""{GRAPH}, {UND}, {NEAR.replace('nb AS', 'nbr AS').replace('FROM nb', 'FROM nbr').replace('JOIN nb', 'JOIN nbr')}, {BETWEEN}
+    SELECT near.v, round(n + 10 * round(coalesce(x, 0), 12) + 0.5 * t, 6) AS importance FROM near LEFT JOIN between_ USING (v)"""
+ORACLE["articulation_points"] = f"""{RINGS}, {UND}, nb AS (SELECT u AS a, v AS b FROM und UNION SELECT v, u FROM und), sides AS (SELECT a AS gone, min(b) AS start, count(*) AS n FROM nb GROUP BY 1),
+    seen AS (SELECT gone, start AS v FROM sides UNION SELECT gone, nb.b FROM seen JOIN nb ON seen.v = nb.a WHERE nb.b <> gone)
+    SELECT sides.gone AS v FROM sides JOIN nb ON nb.a = sides.gone LEFT JOIN seen ON seen.gone = sides.gone AND seen.v = nb.b GROUP BY sides.gone HAVING count(*) FILTER (seen.v IS NULL) > 0"""

@@ -67,4 +67,4 @@ def simple_facts(sources: DataFrame) -> DataFrame:
 
 def violations(rows: DataFrame, rule: str) -> DataFrame:
     """Rows of an imported rule report whose rule name contains `rule`; n: the first number of the message."""
-    return rows.filter(F.contains("rule", F.lit(rule))).withColumn("n", F.regexp_extract("message", r"(\d+)", 1).try_cast("int") if hasattr(F.col("x"), "try_cast") else F.regexp_extract("message", r"(\d+)", 1).cast("int"))
+    return rows.filter(F.contains("rule", F.lit(rule))).withColumn("n", F.regexp_extract("message", r"(\d+)", 1).try_cast("int"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cragline.functions.names import is_accessor
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,7 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "class_key", "class_fqn", "package", "parent_key", F.col("o_orderkey").alias("method"), F.col("l_partkey").alias("variable"), F.col("l_suppkey").alias("provider"),
         F.col("n_regionkey").alias("region"), (F.col("s_nationkey") != F.col("nation")).alias("is_foreign"), F.col("l_quantity").alias("loc"), F.col("l_linenumber").alias("depth"),
         (F.col("l_returnflag") == "R").alias("is_call"), (F.col("o_orderpriority") == "1-URGENT").alias("is_protected"), (F.col("o_orderstatus") == "O").alias("is_override"),
+        (F.col("l_partkey") % 4 == 0).alias("is_public_attribute"), (F.col("l_partkey") % 4 == 1).alias("is_protected_attribute"),
     )
 
 
@@ -74,5 +77,10 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """class_fqn, method, body: documents as method bodies of the class named by their source."""
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("class_fqn"), F.col("doc_id").alias("method"), F.col("text").alias("body"))
+    """class_fqn, method, body, is_constructor, is_accessor: documents as method bodies of the class named by their source.
+
+    Every 17th document counts as a constructor; the first word of a document stands for the method's name.
+    """
+    text, first = F.col("text"), F.lower(F.substring_index(F.ltrim("text"), " ", 1))
+    accessor = is_accessor(first, text.isNotNull(), F.size(F.split(F.trim("text"), "\n")))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("class_fqn"), F.col("doc_id").alias("method"), text.alias("body"), (F.col("doc_id") % 17 == 0).alias("is_constructor"), accessor.alias("is_accessor"))

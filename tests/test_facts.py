@@ -69,18 +69,18 @@ def test_metric_ranks_and_ties(spark):
 
 def test_metrics_of_a_small_class(spark):
     rows = [
-        (1, "p.A", "p", None, 1, "x", 1, 0, False, 3.0, 1, True, True, False), (1, "p.A", "p", None, 1, "y", 2, 0, True, 4.0, 2, False, True, False),
-        (1, "p.A", "p", None, 2, "x", 1, 0, False, 1.0, 1, False, False, True), (1, "p.A", "p", None, 3, "z", 3, 1, True, 1.0, 1, False, False, True),
-        (2, "p.B", "p", 1, 4, "x", 1, 0, True, 9.0, 3, True, False, False),
+        (1, "p.A", "p", None, 1, "x", 1, 0, False, 3.0, 1, True, True, False, True, False), (1, "p.A", "p", None, 1, "y", 2, 0, True, 4.0, 2, False, True, False, True, False),
+        (1, "p.A", "p", None, 2, "x", 1, 0, False, 1.0, 1, False, False, True, True, False), (1, "p.A", "p", None, 2, "v", 1, 0, False, 0.0, 1, False, False, True, False, True), (1, "p.A", "p", None, 3, "z", 3, 1, True, 1.0, 1, False, False, True, False, False),
+        (2, "p.B", "p", 1, 4, "x", 1, 0, True, 9.0, 3, True, False, False, False, False),
     ]
-    access = df(spark, rows, "class_key long, class_fqn string, package string, parent_key long, method long, variable string, provider long, region long, is_foreign boolean, loc double, depth int, is_call boolean, is_protected boolean, is_override boolean")
+    access = df(spark, rows, "class_key long, class_fqn string, package string, parent_key long, method long, variable string, provider long, region long, is_foreign boolean, loc double, depth int, is_call boolean, is_protected boolean, is_override boolean, is_public_attribute boolean, is_protected_attribute boolean")
     got = {r.class_key: r for r in metrics.with_parents(metrics.class_metrics(access)).collect()}
     a, b = got[1], got[2]
-    assert (a.wmc, a.nom, a.loc, a.atfd, a.protected, a.overridden) == (7, 3, 9, 2, 1, 2) and a.tcc == 1 / 3
-    assert (b.used_parent, b.n_prot, b.bur, b.tcc) == (1, 1, 1.0, 0.0)
+    assert (a.wmc, a.nom, a.loc, a.atfd, a.noa, a.nopa, a.protected, a.overridden) == (8, 3, 9, 2, 2, 1, 2, 2) and a.tcc == 1 / 3
+    assert (b.used_parent, b.n_prot, b.bur, b.tcc) == (1, 2, 0.5, 0.0)
     methods = {r.method: r for r in metrics.method_metrics(access).collect()}
     assert methods[1].laa == 0.5 and methods[2].laa == 1.0 and methods[3].cdisp == 1.0 and methods[2].cdisp == 0.0
-    assert {r.callee: (r.cm, r.cc) for r in metrics.callers(access).collect()} == {"x": (2, 2)}
+    assert {r.callee: (r.cm, r.cc) for r in metrics.callers(access).collect()} == {"x": (1, 1)}  # not the call within the class
 
 
 def test_thresholds_at_their_edges(spark):
@@ -88,8 +88,85 @@ def test_thresholds_at_their_edges(spark):
     found = detectors.describe(detectors.detect(rows, "god_class"), "god_class")
     one = detectors.parse_description(found).first()
     assert found.count() == 1 and one.description == "God Class detected: ATFD=6, WMC=47, TCC=0.32" and (one.class_fqn, one.wmc) == ("in", 47)
-    brain = df(spark, [("c", 1, 66, 4, 5, 8), ("c", 2, 65, 4, 5, 8), ("c", 3, 66, 4, 4, 8), ("c", 4, 66, 4, 5, 7)], "class_fqn string, method long, loc long, cyclo long, nesting long, noav long")
-    assert [r.method for r in detectors.detect(brain, "brain_method").collect()] == [1]
+
+
+#: Metrics that meet the thresholds of a detector by one step, and for each term the step that no longer does.
+EDGES = {
+    "brain_method": [({"loc": 66, "cyclo": 4, "nesting": 5, "noav": 8}, [{"loc": 65}, {"cyclo": 3}, {"nesting": 4}, {"noav": 7}])],
+    "feature_envy": [({"atfd": 6, "laa": 0.32, "fdp": 5}, [{"atfd": 5}, {"laa": 0.33}, {"fdp": 6}])],
+    "intensive_coupling": [({"cint": 8, "cdisp": 0.49, "nesting": 2}, [{"cint": 7}, {"cdisp": 0.5}, {"nesting": 1}]), ({"cint": 6, "cdisp": 0.24, "nesting": 2}, [{"cint": 5}, {"cdisp": 0.25}, {"nesting": 1}])],
+    "dispersed_coupling": [({"cint": 8, "cdisp": 0.5, "nesting": 2}, [{"cint": 7}, {"cdisp": 0.49}, {"nesting": 1}])],
+    "shotgun_surgery": [({"cm": 8, "cc": 8}, [{"cm": 7}, {"cc": 7}])],
+    "god_class": [({"atfd": 6, "wmc": 47, "tcc": 0.32}, [{"atfd": 5}, {"wmc": 46}, {"tcc": 0.33}])],
+    "data_class": [({"woc": 0.32, "nopa": 3, "accessors": 3, "wmc": 30}, [{"woc": 0.33}, {"nopa": 2}, {"accessors": 2}, {"wmc": 31}]), ({"woc": 0.32, "nopa": 8, "accessors": 0, "wmc": 46}, [{"nopa": 7}, {"wmc": 47}])],
+    "brain_class": [({"atfd": 5, "wmc": 47, "tcc": 0.49, "brains": 2, "loc": 195}, [{"wmc": 46}, {"tcc": 0.5}, {"brains": 1}, {"loc": 194}, {"atfd": 6, "tcc": 0.32}]), ({"atfd": 9, "wmc": 94, "tcc": 0.33, "brains": 1, "loc": 390}, [{"wmc": 93}, {"tcc": 0.32}, {"brains": 0}, {"loc": 389}])],
+    "refused_bequest": [({"parent_key": 1, "bovr": 0.32, "n_prot": 0, "bur": 0.0, "nom": 8, "amw": 2.1, "wmc": 14}, [{"parent_key": None}, {"bovr": 0.33}, {"nom": 7}, {"amw": 2.0}]), ({"parent_key": 1, "bovr": 0.33, "n_prot": 6, "bur": 0.32, "nom": 8, "amw": 2.0, "wmc": 15}, [{"n_prot": 5}, {"bur": 0.33}, {"wmc": 14}])],
+    "tradition_breaker": [({"parent_amw": 2.1, "parent_nom": 7, "parent_wmc": 23, "nom": 12, "amw": 2.1, "wmc": 46, "nas": 7, "pnas": 0.67, "overridden": 5}, [{"parent_amw": 2.0}, {"parent_nom": 6}, {"parent_wmc": 22}, {"nom": 11}, {"amw": 2.0}, {"nas": 6}, {"pnas": 0.66}]), ({"parent_amw": 2.1, "parent_nom": 7, "parent_wmc": 23, "nom": 12, "amw": 2.0, "wmc": 47, "nas": 7, "pnas": 0.67, "overridden": 5}, [{"wmc": 46}])],
+}
+
+
+@pytest.mark.parametrize("name", EDGES)
+def test_each_term_of_each_detector(spark, name):
+    keys = {"class": ["class_fqn"], "method": ["class_fqn", "method"], "callee": ["callee"]}[detectors.RULES[name].level]
+    rows, want = [], set()
+    for meets, misses in EDGES[name]:
+        for change in [{}, *misses]:
+            rows.append(meets | change)
+            if not change:
+                want.add(len(rows) - 1)
+    columns = list(rows[0])
+    kinds = ", ".join(f"{c} {'double' if any(isinstance(r[c], float) for r in rows) else 'long'}" for c in columns)
+    table = df(spark, [(*[str(i) if k != "method" else i for k in keys], *[float(r[c]) if f" {c} double" in f" {kinds}" else r[c] for c in columns]) for i, r in enumerate(rows)], ", ".join(f"{k} {'long' if k == 'method' else 'string'}" for k in keys) + ", " + kinds)
+    assert {int(r[keys[0]]) for r in detectors.detect(table, name).collect()} == want
+
+
+def test_long_and_complex_methods(spark):
+    rows = df(spark, [(1, 66, 3), (2, 65, 4), (3, 65, 3)], "method long, loc long, cyclo long")
+    assert [r.method for r in detectors.long_method(rows).collect()] == [1] and [r.method for r in detectors.complex_method(rows).collect()] == [2]
+
+
+def test_ordinals_by_ranges(spark):
+    rows = df(spark, [(i % 3, (i * 37) % 100, i) for i in range(200)], "g long, x long, i long")
+    got = {r.i: r.n for r in ranking.ordinal(rows, "n", F.desc("x"), "i").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(200), key=lambda i: (-((i * 37) % 100), i)), 1)}
+    within = {r.i: r.n for r in ranking.ordinal_within(rows, "n", ["g"], "x", "i").collect()}
+    for g in range(3):
+        assert [within[i] for i in sorted(range(g, 200, 3), key=lambda i: ((i * 37) % 100, i))] == list(range(1, len(range(g, 200, 3)) + 1))
+    assert ranking.ordinal(rows.limit(0), "n", "x").count() == 0
+
+
+def test_class_report_layouts(spark):
+    rows = df(spark, [("p.A", 1, 5, 2, 50, 1, 7, 2, 0.125, 1, 1595275997, 1595276000, 3, "a.java")], "class_fqn string, priority long, change_proneness_rank long, effort_rank long, wmc long, wmc_rank long, atfd long, atfd_rank long, tcc double, tcc_rank long, earliest_commit long, most_recent_commit long, commit_count long, path string")
+    short = [r.line for r in report.csv_report(rows, "1.0").orderBy("pos").collect()]
+    assert short == ["Ver,Class,Priority,Change Proneness Rank,Effort Rank,Method Count,Most Recent Commit Date,Commit Count,", "1.0,p.A,1,5,2,50,2020-07-20T20:13:20,3,eol"]
+    long = [r.line for r in report.csv_report(rows, "1.0", True).orderBy("pos").collect()]
+    assert long[0].count(",") == 15 and long[1] == "1.0,p.A,1,5,2,50,1,7,2,0.13,1,2020-07-20T20:13:17,2020-07-20T20:13:20,3,a.java,eol"
+    assert spark.range(1).select(report.csv_name("x", "2", F.lit("2024-03-05 15:06:00").cast("timestamp"))).first()[0] == "RefFirst_Px_PV2_PD202403050306.csv"
+
+
+def test_signatures_and_partners(spark):
+    cases = {
+        "copy(Generic{T extends hudson.model.TopLevelItem},java.lang.String)": "copy(T,String)",
+        "isAllSuitableNodesOffline(Generic{R extends hudson.model.AbstractBuild}, Generic{R}>})": "isAllSuitableNodesOffline(R)",
+    }
+    for given, want in cases.items():
+        assert spark.range(1).select(names.short_signature(F.lit(given))).first()[0] == want
+    partners = "upWaitQueue(com.tonikelope.megabasterd.Transference) ↔ TransferenceManager.downWaitQueue(com.tonikelope.megabasterd.Transference)"
+    assert spark.range(1).select(names.short_partners(F.lit(partners))).first()[0] == "upWaitQueue(Transference) ↔ TransferenceManager.downWaitQueue(Transference)"
+
+
+def test_duplication_of_eligible_methods_alone(spark):
+    body = "\n".join(f"line {k};" for k in range(14))
+    other = "\n".join(f"thing {k};" for k in range(6))
+    rows = [("p.A", 1, body, False, False), ("p.B", 2, "x;\n" + body, False, False), ("p.C", 3, body, True, False), ("p.D", 4, body, False, True), ("p.E", 5, other, False, False), ("p.F", 6, "license\n" + other.replace("thing", "word"), False, False), ("p.G", 7, "license\n" + other.replace("thing", "name"), False, False)]
+    bodies = df(spark, rows, "class_fqn string, method long, body string, is_constructor boolean, is_accessor boolean")
+    got = {r.class_fqn: (r.sec, r.sdc, r.partners) for r in clones.significant_duplication(bodies).collect()}
+    assert got == {"p.A": (14, 0, "1 ↔ B.2"), "p.B": (14, 0, "2 ↔ A.1")}
+    methods = clones.eligible_methods(bodies)
+    assert clones.average_loc(methods).first().average == (14 + 15 + 6 + 7 + 7) / 5
+    every = {tuple(r) for r in clones.clone_runs(clones.lines_of(methods)).collect()}
+    seeded = {tuple(r) for r in clones.clone_runs(clones.lines_of(methods), clones.seeded_pairs(methods)).collect()}
+    assert seeded == {r for r in every if r[:2] == (1, 2)} and len(every) > len(seeded)
 
 
 def brute_runs(a, b):

@@ -58,6 +58,30 @@ def test_kernels_keep_their_promises(seed):
     assert chosen is None or K.acyclic(K.without(g, chosen))
 
 
+def test_exact_arc_sets_of_large_components():
+    ring = K.build([(i, (i + 1) % 40, 3 - (i == 7)) for i in range(40)])
+    assert K.exact_fas(ring) == {(7, 8)}
+    r = random.Random(5)
+    chords = K.build([(i, (i + 1) % 18, r.randint(1, 9)) for i in range(18)] + [(i, (i * 7 + 3) % 18, r.randint(1, 9)) for i in range(18) if (i * 7 + 3) % 18 != i])
+    found = K.exact_fas(chords)
+    cost = lambda arcs: sum(chords[a][b] for a, b in arcs)
+    assert K.acyclic(K.drop_edges(chords, found)) and cost(found) <= min(cost(K.greedy_fas(chords)), cost(K.ordering_fas(chords)[1]))
+    # the best order of all, by subsets
+    best = {frozenset(): 0}
+    for n in range(18):
+        step = {}
+        for done, c in best.items():
+            for v in set(range(18)) - done:
+                x = c + sum(w for u, w in chords[v].items() if u in done)
+                key = done | {v}
+                if x < step.get(key, 1 << 30):
+                    step[key] = x
+        best = dict(sorted(step.items(), key=lambda i: i[1])[:40_000])
+    assert cost(found) <= min(best.values())
+    with pytest.raises(ValueError):
+        K.exact_fas(chords, most_steps=2)
+
+
 def test_small_graphs():
     ring = K.build([("A", "B", 1), ("B", "C", 10), ("C", "A", 1)])
     assert len(K.exact_fas(ring)) == 1 and ("B", "C") not in K.exact_fas(ring)
@@ -97,7 +121,7 @@ def test_iterations_match_the_kernels(spark, seed):
             for f in to or [e]:
                 new[f] += score[e] / max(1, len(to))
         score = new
-    got = {(r.src, r.dst): r.score for r in graph.line_pagerank(graph.line_digraph(df, parts)).collect()}
+    got = {(r.src, r.dst): r.score for r in graph.line_pagerank(df, parts).collect()}
     assert got.keys() == {x for e in line for x in (e[:2], e[2:])} and all(abs(score[e] - s) < 1e-12 for e, s in got.items())
     gone = {(r.src, r.dst) for r in graph.pagerank_fas(df).collect()}
     assert K.acyclic(K.drop_edges(g, gone))
