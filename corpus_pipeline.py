@@ -1,4 +1,8 @@
-"""From documents to a training mix: quality, line deduplication, near duplicates, decontamination, mixing."""
+"""From documents to a training mix: quality, line deduplication, near duplicates, decontamination, mixing.
+
+All stages take null and empty texts, null doc_ids, repeated rows, further columns and empty tables; what becomes of them
+stands with each stage.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,10 @@ from cragline.llm.queries import MIX_WEIGHTS, mix_domain
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs that the quality classifier accepts; labels of a third of the documents are not learned from."""
+    """docs that the quality classifier accepts; labels of a third of the documents are not learned from.
+
+    Null and empty texts get the score of a text without n-grams, like any other; repeated rows stay or go together.
+    """
     labels = table(spark, sf_dir, "labels").filter(bucket_of("doc_id", 3) != 1)
     return score_quality(docs, train_quality(docs, labels)).filter("predicted = 1").select(docs.columns)
 
@@ -26,17 +33,19 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; documents without words stay."""
+    """One document of each group of near duplicates: that of the smallest doc_id. Documents without words, and rows
+    without a doc_id, stay; of repeated rows one stays."""
     return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a passage of a benchmark item."""
+    """docs without those that hold a passage of a benchmark item. Rows without a doc_id or a text stay."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their tokens, domain and number of copies."""
+    """The documents of the mix with their tokens, domain, number of whole copies, and, where a budget ends inside a
+    document, the prefix drawn from it. Documents without a token are never drawn."""
     return mix(docs, mix_domain(), MIX_WEIGHTS)
 
 
