@@ -7,6 +7,8 @@ is sent whole to a task may have EDGE_LIMIT edges at most, which is checked.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,19 +207,38 @@ def modulator(edges: DataFrame, target: int = 3, max_size: int = 4) -> DataFrame
     return on_whole(edges, run, f"v {_kind(edges)}, eta long, quality double")
 
 
-def fvs_parameters(edges: DataFrame, max_size: int = 4, target: int = 3) -> DataFrame:
-    """One row: k, modulator_size, eta, quality (10 k + 5 size + eta) and kernel_bound ((k size)^(eta^2), as log10)."""
-    import math
+def is_modulator(edges: DataFrame, chosen: list, target: int = 3) -> DataFrame:
+    """One row: eta, and valid, whether the graph without the chosen vertices has a width of at most target."""
+    return treewidth_bound(edges, chosen).select("eta", (F.col("eta") <= target).alias("valid"))
+
+
+def fvs_parameters(edges: DataFrame, max_size: int = 4, target: int = 3, given: list | None = None) -> DataFrame:
+    """One row: k, modulator_size, eta, quality (10 k + 5 size + eta) and kernel_bound ((k size)^(eta^2), as log10), of the
+    modulator that is found, or of the given one."""
 
     def run(g):
         k = K.feedback_size(g)
-        chosen, eta = K.modulator(g, target, max_size)
+        chosen, eta = K.modulator(g, target, max_size) if given is None else (set(given), K.treewidth_bound(g, set(given)))
         size = len(chosen)
-        return [(k, size, eta, 10.0 * k + 5 * size + eta, eta * eta * math.log10(k * size) if k * size else 0.0)]
+        return [(k, size, eta, 10.0 * k + 5 * size + eta, _kernel_bound(k, size, eta))]
 
     return on_whole(edges, run, "k long, modulator_size long, eta long, quality double, log10_kernel_bound double")
 
 
+def _kernel_bound(k: int, size: int, eta: int) -> float:
+    return eta * eta * math.log10(k * size) if k * size else 0.0
+
+
+def fvs_options(edges: DataFrame, max_size: int = 4, options: int = 3) -> DataFrame:
+    """option (from 1), k, modulator (array), eta, quality (size + eta / 10), log10_kernel_bound: the best of several searches."""
+
+    def run(g):
+        k = K.feedback_size(g)
+        return [(n, k, chosen, eta, quality, _kernel_bound(k, len(chosen), eta)) for n, (chosen, eta, quality) in enumerate(K.modulator_options(g, max_size, options), 1)]
+
+    return on_whole(edges, run, f"option int, k long, modulator array<{_kind(edges)}>, eta long, quality double, log10_kernel_bound double")
+
+
 def kernel_dfvs(edges: DataFrame, max_size: int = 4, target: int = 3) -> DataFrame:
     """v: a feedback vertex set of at most k vertices through the zone decomposition; none where it finds none."""
 

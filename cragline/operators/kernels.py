@@ -486,14 +486,29 @@ def treewidth_bound(g: Graph, modulator: set = frozenset()) -> int:
     return min((w for w in widths if w > 1), default=len(near) - 1)
 
 
+def importance(near: dict[object, set], between: dict) -> dict:
+    """Degree + 10 x betweenness + half the triangles of each vertex."""
+    triangles = {v: len(around) * (len(around) - 1) // 2 - fill(near, v) for v, around in near.items()}
+    return {v: len(near[v]) + 10 * between[v] + 0.5 * triangles[v] for v in near}
+
+
 def modulator(g: Graph, target: int, most: int, score: dict | None = None) -> tuple[set, int]:
-    """Vertices whose removal brings eta to the target, and eta. Candidates come from four strategies; the best has
-    the least size + eta / 10. Where none meets the target, the vertices of the highest degree."""
+    """Vertices whose removal brings eta to the target, and eta. Candidates come from five orders: score, feedback
+    vertices, structural importance, degree, and bottlenecks (articulation points, then the highest betweenness). The best
+    has the least size + eta / 10. Where none meets the target, the vertices of the highest degree."""
     near = both_ways(g)
-    degree = lambda v: (-len(near[v]), v)
-    rank = sorted(g, key=(lambda v: (-score.get(v, 0.0), v)) if score else degree)
     between = betweenness(near, sorted(near))
-    orders = [rank, sorted(feedback_vertices(g, "greedy"), key=degree), sorted(g, key=degree), sorted(g, key=lambda v: (-between[v], v))]
+    weight, cuts = importance(near, between), articulation_points(near)
+    falling = lambda x: lambda v: (-x(v), v)
+    degree = falling(lambda v: len(near[v]))
+    central = sorted(g, key=falling(between.get))
+    orders = [
+        sorted(g, key=falling(lambda v: score.get(v, 0.0)) if score else degree),
+        sorted(feedback_vertices(g, "greedy"), key=degree),
+        sorted(g, key=falling(weight.get)),
+        sorted(g, key=degree),
+        [v for v in central if v in cuts] + [v for v in central[: max(10, 2 * most)] if v not in cuts],
+    ]
     best = None
     for order in orders:
         chosen: set = set()
@@ -511,6 +526,16 @@ def modulator(g: Graph, target: int, most: int, score: dict | None = None) -> tu
     return chosen, treewidth_bound(g, chosen)
 
 
+def modulator_options(g: Graph, most: int, options: int) -> list[tuple[list, int, float]]:
+    """Up to `options` different modulators with eta and size + eta / 10, the least first: those for the targets 1 to 5
+    and, for the target 3, for growing limits of their size."""
+    limits = range(min(3, most), most + 1, max(1, most // 4))
+    tried = [modulator(g, t, most) for t in range(1, min(5, most) + 1)] + [modulator(g, 3, n) for n in limits]
+    found = {tuple(sorted(chosen)): eta for chosen, eta in tried}
+    rows = [(list(chosen), eta, len(chosen) + 0.1 * eta) for chosen, eta in found.items()]
+    return sorted(rows, key=lambda r: (r[2], r[0]))[:options]
+
+
 def betweenness(near: dict[object, set], sources: list) -> dict:
     """Sums over the sources of the shares of shortest paths that pass each vertex; ends do not count."""
     total = {v: 0.0 for v in near}

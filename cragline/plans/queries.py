@@ -299,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "eta": lambda s, d: feedback.treewidth_bound(_one(s, d)),
     "modulator": lambda s, d: feedback.modulator(_one(s, d)),
     "fvs_parameters": lambda s, d: feedback.fvs_parameters(_one(s, d)),
+    "fvs_options": lambda s, d: feedback.fvs_options(_one(s, d)),
     "kernel_dfvs": lambda s, d: feedback.kernel_dfvs(_one(s, d)),
     "betweenness": lambda s, d: feedback.betweenness(graph.cut(_two(s, d))).select("v", F.round("betweenness", 6).alias("betweenness")),
     "articulation_points": lambda s, d: feedback.articulation_points(graph.cut(_one(s, d))),

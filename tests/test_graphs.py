@@ -127,6 +127,22 @@ def test_iterations_match_the_kernels(spark, seed):
     assert K.acyclic(K.drop_edges(g, gone))
 
 
+def test_modulators_by_structure():
+    # two cliques joined at one vertex: the joint is the articulation point, the fallback takes the highest degrees
+    cliques = [(a, b, 1) for part in ("abcdx", "efghx") for a in part for b in part if a != b]
+    g = K.build(cliques)
+    near = K.both_ways(g)
+    between = K.betweenness(near, sorted(near))
+    assert K.articulation_points(near) == {"x"}
+    weight = K.importance(near, between)
+    assert weight["x"] == 8 + 10 * between["x"] + 0.5 * 12 and weight["a"] == 4 + 10 * between["a"] + 0.5 * 6
+    assert K.modulator(g, 3, 1) == ({"x"}, 3) and K.treewidth_bound(g) == 4
+    assert K.modulator(g, 1, 2) == ({"x", "a"}, K.treewidth_bound(g, {"x", "a"}))
+    rows = K.modulator_options(g, 4, 9)
+    assert rows[0] == (["x"], 3, 1.3) and [r[2] for r in rows] == sorted(r[2] for r in rows) and len({tuple(r[0]) for r in rows}) == len(rows) > 1
+    assert K.modulator_options(g, 4, 1) == rows[:1]
+
+
 def test_frames_of_kernels(spark):
     df = graph.cut(frame(spark, TWO_RINGS))
     assert feedback.dsm_order(df).count() == 8
@@ -140,6 +156,12 @@ def test_frames_of_kernels(spark):
     assert len(lines) == 8 and all(line.split()[i] == "-" for i, line in enumerate(lines))
     assert feedback.is_feedback_set(df, feedback.fvs(df)).first().valid
     assert feedback.fvs_size(df).first().k == 2
+    found = [r.v for r in feedback.modulator(df).collect()]
+    assert feedback.is_modulator(df, found).first().valid and not feedback.is_modulator(df, [], 1).first().valid
+    options = feedback.fvs_options(df, options=2).collect()
+    assert [r.option for r in options] == list(range(1, len(options) + 1)) and all(r.k == 2 for r in options)
+    given = feedback.fvs_parameters(df, given=found).first()
+    assert given == feedback.fvs_parameters(df).first() and given.quality == 10 * given.k + 5 * given.modulator_size + given.eta
     full = {r.v: r.betweenness for r in feedback.betweenness(df).collect()}
     assert full == {r.v: r.betweenness for r in feedback.betweenness(df, sample=8).collect()}
     assert feedback.degree_sample(df, 3).count() == 3
