@@ -492,45 +492,55 @@ def importance(near: dict[object, set], between: dict) -> dict:
     return {v: len(near[v]) + 10 * between[v] + 0.5 * triangles[v] for v in near}
 
 
-def modulator(g: Graph, target: int, most: int, score: dict | None = None) -> tuple[set, int]:
-    """Vertices whose removal brings eta to the target, and eta. Candidates come from five orders: score, feedback
-    vertices, structural importance, degree, and bottlenecks (articulation points, then the highest betweenness). The best
-    has the least size + eta / 10. Where none meets the target, the vertices of the highest degree."""
+def _modulator_search(g: Graph, score: dict | None = None):
+    """A search for modulators by target and size; widths and orders are computed once for all its calls."""
     near = both_ways(g)
     between = betweenness(near, sorted(near))
     weight, cuts = importance(near, between), articulation_points(near)
     falling = lambda x: lambda v: (-x(v), v)
     degree = falling(lambda v: len(near[v]))
-    central = sorted(g, key=falling(between.get))
+    by_degree, central = sorted(g, key=degree), sorted(g, key=falling(between.get))
     orders = [
-        sorted(g, key=falling(lambda v: score.get(v, 0.0)) if score else degree),
+        sorted(g, key=falling(lambda v: score.get(v, 0.0))) if score else by_degree,
         sorted(feedback_vertices(g, "greedy"), key=degree),
         sorted(g, key=falling(weight.get)),
-        sorted(g, key=degree),
-        [v for v in central if v in cuts] + [v for v in central[: max(10, 2 * most)] if v not in cuts],
+        by_degree,
+        [v for v in central if v in cuts] + [v for v in central if v not in cuts],
     ]
-    best = None
-    for order in orders:
-        chosen: set = set()
-        for v in order[:most]:
-            chosen.add(v)
-            eta = treewidth_bound(g, chosen)
-            if eta <= target:
-                quality = len(chosen) + 0.1 * eta
-                if best is None or quality < best[0]:
-                    best = (quality, set(chosen), eta)
-                break
-    if best:
-        return best[1], best[2]
-    chosen = set(sorted(g, key=degree)[:most])
-    return chosen, treewidth_bound(g, chosen)
+    widths: dict[frozenset, int] = {}
+
+    def width(chosen: list) -> int:
+        key = frozenset(chosen)
+        if key not in widths:
+            widths[key] = treewidth_bound(g, set(key))
+        return widths[key]
+
+    def search(target: int, most: int) -> tuple[set, int]:
+        best = None
+        for order in orders:
+            for n in range(1, min(most, len(order)) + 1):
+                if (eta := width(order[:n])) <= target:
+                    if best is None or n + 0.1 * eta < best[0]:
+                        best = (n + 0.1 * eta, set(order[:n]), eta)
+                    break
+        return best[1:] if best else (set(by_degree[:most]), width(by_degree[:most]))
+
+    return search
+
+
+def modulator(g: Graph, target: int, most: int, score: dict | None = None) -> tuple[set, int]:
+    """Vertices whose removal brings eta to the target, and eta. Candidates come from five orders: score, feedback
+    vertices, structural importance, degree, and bottlenecks (articulation points, then the highest betweenness). The best
+    has the least size + eta / 10. Where none meets the target, the vertices of the highest degree."""
+    return _modulator_search(g, score)(target, most)
 
 
 def modulator_options(g: Graph, most: int, options: int) -> list[tuple[list, int, float]]:
     """Up to `options` different modulators with eta and size + eta / 10, the least first: those for the targets 1 to 5
     and, for the target 3, for growing limits of their size."""
+    search = _modulator_search(g)
     limits = range(min(3, most), most + 1, max(1, most // 4))
-    tried = [modulator(g, t, most) for t in range(1, min(5, most) + 1)] + [modulator(g, 3, n) for n in limits]
+    tried = [search(t, most) for t in range(1, min(5, most) + 1)] + [search(3, n) for n in limits]
     found = {tuple(sorted(chosen)): eta for chosen, eta in tried}
     rows = [(list(chosen), eta, len(chosen) + 0.1 * eta) for chosen, eta in found.items()]
     return sorted(rows, key=lambda r: (r[2], r[0]))[:options]
