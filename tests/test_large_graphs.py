@@ -50,3 +50,11 @@ def test_widths_and_betweenness_as_defined(seed):
     degree = lambda n, v: len(n[v])
     assert K.eliminate(near, degree) == _plain_eliminate(near, degree) and K.eliminate(near, K.fill) == _plain_eliminate(near, K.fill)
     assert centrality.betweenness(near) == pytest.approx(K.betweenness(near, sorted(near)))
+
+
+def test_options_of_many_vertices(within):
+    rows = K.modulator_options(K.build(handoffs(9000)), 4, 3)
+    assert rows and [r[2] for r in rows] == sorted(r[2] for r in rows)
+    # without the hub only paths are left: every order gives 1, and the largest degree decides
+    star = [(0, v, 1) for v in range(1, 400)] + [(v, v + 1, 1) for v in range(1, 399)] + [(399, 0, 1)]
+    assert K.treewidth_bound(K.build(sorted(star)), {0}) == 2
