@@ -58,3 +58,8 @@ def test_options_of_many_vertices(within):
     # without the hub only paths are left: every order gives 1, and the largest degree decides
     star = [(0, v, 1) for v in range(1, 400)] + [(v, v + 1, 1) for v in range(1, 399)] + [(399, 0, 1)]
     assert K.treewidth_bound(K.build(sorted(star)), {0}) == 2
+
+
+def test_parameters_of_many_vertices(spark, within):
+    row = feedback.fvs_parameters(frame(spark, handoffs(9000))).first()
+    assert row.k >= 1 and (row.modulator_size, row.eta) == (1, 2) and row.quality == 10 * row.k + 5 + 2
