@@ -63,3 +63,22 @@ def test_options_of_many_vertices(within):
 def test_parameters_of_many_vertices(spark, within):
     row = feedback.fvs_parameters(frame(spark, handoffs(9000))).first()
     assert row.k >= 1 and (row.modulator_size, row.eta) == (1, 2) and row.quality == 10 * row.k + 5 + 2
+
+
+def test_zones_of_many_vertices(spark, within):
+    df = frame(spark, handoffs(9000))
+    chosen = feedback.kernel_dfvs(df)
+    assert feedback.is_feedback_set(df, chosen).first().valid and chosen.count() == feedback.fvs_size(df).first().k
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_minimal_sets_as_defined(seed):
+    g = K.build(handoffs(random.Random(seed).randint(2, 30), seed, 2))
+    found = K.feedback_vertices(g, "greedy")
+    want, changed = set(found), True
+    while changed:
+        changed = False
+        for v in sorted(want):
+            if K.acyclic(K.without(g, want - {v})):
+                want, changed = want - {v}, True
+    assert K.minimal_set(g, sorted(found)) == want
