@@ -82,3 +82,9 @@ def test_minimal_sets_as_defined(seed):
             if K.acyclic(K.without(g, want - {v})):
                 want, changed = want - {v}, True
     assert K.minimal_set(g, sorted(found)) == want
+
+
+def test_edge_info_of_many_vertices(spark, within):
+    edges = handoffs(9000)
+    found = removal.edge_info(removal.cycle_removal(frame(spark, edges))).collect()
+    assert found and K.acyclic(K.drop_edges(K.build(edges), {(r.src, r.dst) for r in found}))
