@@ -88,3 +88,7 @@ def test_edge_info_of_many_vertices(spark, within):
     edges = handoffs(9000)
     found = removal.edge_info(removal.cycle_removal(frame(spark, edges))).collect()
     assert found and K.acyclic(K.drop_edges(K.build(edges), {(r.src, r.dst) for r in found}))
+
+
+def test_eta_of_very_many_vertices(within):
+    assert K.treewidth_bound(K.build(handoffs(90_000))) == 2
