@@ -92,3 +92,46 @@ def test_edge_info_of_many_vertices(spark, within):
 
 def test_eta_of_very_many_vertices(within):
     assert K.treewidth_bound(K.build(handoffs(90_000))) == 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_greedy_arcs_as_defined(seed):
+    g = K.build(handoffs(random.Random(seed).randint(2, 30), seed, 2))
+    rest, gone = {v: dict(o) for v, o in g.items()}, set()
+    while True:
+        part = {v: i for i, c in enumerate(K.components(rest)) for v in c}
+        inner = [(x, v, w) for v, o in rest.items() for w, x in o.items() if part[v] == part[w]]
+        if not inner:
+            break
+        _, v, w = min(inner)
+        del rest[v][w]
+        gone.add((v, w))
+    assert K.greedy_fas(g) == gone
+
+
+def test_arc_sets_of_very_many_edges(within):
+    g = K.build(handoffs(60_000, successors=2))
+    for found in (K.ordering_fas(g)[1], K.greedy_fas(g)):
+        assert K.acyclic(K.drop_edges(g, found))
+
+
+def test_vertex_sets_of_very_many_edges(within):
+    g = K.build(handoffs(60_000, successors=2))
+    for name in ("greedy", "local"):
+        assert K.acyclic(K.without(g, K.feedback_vertices(g, name)))
+
+
+def test_betweenness_folds_trees(spark):
+    star = [(v, 0, 1) for v in range(1, 3000)] + [(0, 1, 1)]
+    core, _, _ = centrality.fold(K.both_ways(K.build(star)))
+    assert sum(map(bool, core.values())) == 0
+    found = {r.v: r.betweenness for r in feedback.betweenness(frame(spark, star)).collect()}
+    assert found == {v: 2999 * 2998.0 if v == 0 else 0.0 for v in range(3000)}
+
+
+def test_matrix_lines_hold_runs_of_zeros(spark):
+    edges = frame(spark, [(0, 3, 7), (3, 0, 2), (1, 4, 12), (4, 1, 1), (2, 2, 5)])
+    order = spark.createDataFrame([(v, v) for v in range(6)], "v long, pos long")
+    out = feedback.dsm_matrix(edges, order)
+    assert [r.line for r in out.orderBy("pos").collect()] == ["- 0 0 7 0 0", "0 - 0 0 12 0", "0 0 - 0 0 0", "2 0 0 - 0 0", "0 1 0 0 - 0", "0 0 0 0 0 -"]
+    assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()  # no array of a row's places
