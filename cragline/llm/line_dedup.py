@@ -122,8 +122,12 @@ def dedup_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarity:
     """
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     drop = line_decisions(docs, depth, min_docs, similarity, min_tokens, short_docs).select(F.col("_id").alias("_ld_id"), F.col("_hash").alias("_ld_hash"), F.col("drop").alias("_ld_drop"))
-    rows = docs.select(*own, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_ld_own"))
-    out = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_own") == F.col("_ld_hash")), "left")
+    drop = materialize(drop, "line-drops")
+    rows = docs.select(F.struct(*own).alias("_ld_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_ld_own"))
+    rows = marked(rows, "_ld_own", drop.select(F.col("_ld_hash").alias("_ld_own")).distinct(), "_ld_may")
+    # only texts that the bitmap lets through are shuffled, the others lose no line
+    may = rows.filter("_ld_may").join(drop, F.col("_ld_row.doc_id").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_own") == F.col("_ld_hash")), "left").select("_ld_row.*", "_ld_drop")
+    out = may.unionByName(rows.filter("NOT _ld_may").select("_ld_row.*", F.lit(None).cast(drop.schema["_ld_drop"].dataType).alias("_ld_drop")))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     out = out.withColumn("n_lines", lines).withColumn("n_dropped", F.coalesce(F.size("_ld_drop"), F.lit(0)))
     text = F.when(F.col("_ld_drop").isNotNull(), _without(F.col("text"), F.col("_ld_drop"))).otherwise(F.col("text"))
