@@ -49,13 +49,15 @@ def seeded_pairs(methods: DataFrame, size: int = FEW + 1) -> DataFrame:
 def clone_runs(lines: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """lines(method, pos, line) -> a, b, start_a, start_b, size: the maximal runs of each pair of methods, a < b.
 
-    With pairs(a, b), of those pairs alone: lines are then joined by pair, not all lines that are equal.
+    With pairs(a, b), of those pairs alone: lines are then joined by pair, not all lines that are equal. With a column
+    again in lines, of the pairs alone of which it is true for one method at least.
     """
+    again = F.col("again") if "again" in lines.columns else F.lit(True)
     key = F.xxhash64("line")
-    left = lines.select(F.col("method").alias("a"), F.col("pos").alias("x"), "line", key.alias("h"))
-    right = lines.select(F.col("method").alias("b"), F.col("pos").alias("y"), F.col("line").alias("other"), key.alias("h"))
+    left = lines.select(F.col("method").alias("a"), F.col("pos").alias("x"), "line", key.alias("h"), again.alias("wanted"))
+    right = lines.select(F.col("method").alias("b"), F.col("pos").alias("y"), F.col("line").alias("other"), key.alias("h"), again.alias("wanted_b"))
     both = left.join(right, "h") if pairs is None else pairs.join(left, "a").join(right, ["b", "h"])
-    hits = both.filter("a < b AND line = other").select("a", "b", "x", "y")
+    hits = both.filter("a < b AND line = other AND (wanted OR wanted_b)").select("a", "b", "x", "y")
     diagonal = Window.partitionBy("a", "b", F.col("x") - F.col("y")).orderBy("x")
     islands = hits.withColumn("island", F.col("x") - F.row_number().over(diagonal))
     return islands.groupBy("a", "b", (F.col("x") - F.col("y")).alias("d"), "island").agg(F.min("x").cast("long").alias("start_a"), F.min("y").cast("long").alias("start_b"), F.count("*").alias("size")).drop("d", "island")
