@@ -86,6 +86,9 @@ def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarit
     mixed = materialize(lines.filter("NOT short").join(leaves, "leaf").select("line", "n", "first.*"), "line-leaves")
     same = mixed.select(F.col("_id").alias("i"), F.col("_hash").alias("h"), F.col("pos").alias("p"), F.col("line").alias("l"), "n")
     every = _lines(marked(texts_of, "_hash", mixed.select("_hash").distinct(), "_may").filter("_may"), depth, min_tokens).filter("NOT short")
+    # of these texts' lines only the wanted ones, and few others, are shuffled
+    at = F.xxhash64("_id", "_hash", "pos")
+    every = marked(every.withColumn("at", at), "at", mixed.select(at.alias("at")), "_may").filter("_may")
     held = every.join(same, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h")) & (F.col("pos") == F.col("p")) & (F.col("line") == F.col("l")))
     held = held.select("leaf", "line", "masked", "n").dropDuplicates(["leaf", "line"])
     held = materialize(held.select("leaf", "line", F.split("masked", " ").alias("tokens"), "n"), "line-tokens")
@@ -95,7 +98,9 @@ def line_decisions(docs: DataFrame, depth: int = 3, min_docs: int = 3, similarit
     alone = lines.filter(F.col("n") >= F.when(F.col("short"), F.lit(short_docs)).otherwise(F.lit(min_docs))).join(shapes, ["leaf", "line"], "left_anti").select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
     templates = materialize(shapes.unionByName(alone), "line-templates")
     discard(lines, held, *groups)
-    placed = light.join(templates, ["leaf", "line"]).select(*key, "pos", "template")
+    own_line = F.xxhash64("leaf", "line")
+    placed = marked(light.withColumn("own_line", own_line), "own_line", templates.select(own_line.alias("own_line")), "_may").filter("_may")
+    placed = placed.join(templates, ["leaf", "line"]).select(*key, "pos", "template")
     found = placed.groupBy("template", *key).agg(F.min("pos").alias("pos"))
     recurring = found.groupBy("template").agg(F.count("*").alias("docs"), F.min(own).alias("first")).filter(F.col("docs") >= min_docs).select("template", "first")
     recurring = materialize(recurring, "line-recurring")  # a plain table, so that the join can split a hot template
